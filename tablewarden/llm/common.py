@@ -25,6 +25,8 @@ CHUNK_WORDS = 2_000_000
 #: Bytes of table that one hash bucket answers for; one bucket is what a reduce task holds at once.
 BUCKET_BYTES = 16 << 20
 
+#: Spark's setting to remove the shuffle files of a query at its end.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -39,18 +41,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage and survives lost executors.
 
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files that no live plan refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The shuffle files behind the write go as soon as it has ended, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before else spark.conf.unset(_CLEAN_UP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table_bytes(df: DataFrame) -> int:
