@@ -62,9 +62,9 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Hash buckets for the words of ``df``: in proportion to its size, and some for each shuffle partition."""
+    """Hash buckets for the words of ``df``: in proportion to its size, and at least one for each shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(1 << 20, max(4 * parts, table_bytes(df) // BUCKET_BYTES, 16)))
+    return int(min(1 << 20, max(parts, table_bytes(df) // BUCKET_BYTES, 16)))
 
 
 def ascii_lower(data: bytes) -> bytes:
