@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import bpe, neardup, substrings, toxicity
+from tablewarden.llm import bpe, neardup, pii, substrings, toxicity
 from tablewarden.llm.common import source
 
 
@@ -29,6 +29,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(source(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(source(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_minhash_neardup": op4_minhash_neardup,
+    "op6_pii": op6_pii,
     "op9_toxicity": op9_toxicity,
 }
 
