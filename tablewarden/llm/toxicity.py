@@ -87,8 +87,8 @@ class Model:
 def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 200, rate: float = 0.01, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk, by Adam over the whole sample.
 
-    It starts from the log odds that Bayes' rule gives each feature alone and the absence of all, as the
-    sigmoid loss is not convex.
+    As the sigmoid loss is not convex, it starts from the log odds that Bayes' rule gives the absence of all
+    features, and each feature alone that makes a document more likely toxic than not.
     """
     lengths = np.array([len(r) for r in rows])
     col = np.array([c for r in rows for c in r], np.int64)
@@ -101,7 +101,8 @@ def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: flo
     of_p = positive[row]
     empty = lengths == 0
     b = float(log_odds((empty & positive).sum(), (empty & ~positive).sum()))
-    w = log_odds(np.bincount(col[of_p], minlength=n_features), np.bincount(col[~of_p], minlength=n_features)) - b
+    alone = log_odds(np.bincount(col[of_p], minlength=n_features), np.bincount(col[~of_p], minlength=n_features))
+    w = np.where(alone > 0, alone - b, 0.0)
     first, second = np.zeros(n_features + 1), np.zeros(n_features + 1)
     n_p, n_u = positive.sum(), (~positive).sum()
     for step in range(1, steps + 1):
