@@ -182,14 +182,17 @@ def speaking(found: list[tuple[bool, list[list[int]]]], prior: float) -> list[in
 
 
 def _promising(n_p: int, n_u: int):
-    """Of a block of hashed places those that P has clearly more often than U; several features share a place."""
+    """Of a block of hashed places those that P has clearly more often than U, over twice as often.
+
+    Several features share a place, so this is looser than what a feature must pass.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         p, u = sum(np.frombuffer(x.as_py(), np.int32).reshape(2, -1).astype(np.int64) for x in table["counts"])[::-1]
         mean = (p + u) / (n_p + n_u)
         z = (p / n_p - u / n_u) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_p + 1 / n_u))
-        at = np.flatnonzero((z > 3) & (p >= 5))
+        at = np.flatnonzero((z > 3) & (p >= 5) & (p * n_u > 2 * u * n_p))
         return pa.table([pa.array(block * _BLOCK + at, pa.int64()), pa.array(z[at], pa.float64())], names=["place", "z"])
 
     return run
