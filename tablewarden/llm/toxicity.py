@@ -84,7 +84,7 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.bias + sum(weight[i] for i in sorted(read(text))), -30, 30))))
 
 
-def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 200, rate: float = 0.01, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 60, rate: float = 0.01, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk, by Adam over the whole sample.
 
     As the sigmoid loss is not convex, it starts from the log odds that Bayes' rule gives the absence of all
@@ -95,7 +95,7 @@ def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: flo
     row = np.repeat(np.arange(len(rows)), lengths)
 
     def log_odds(in_p: np.ndarray, in_u: np.ndarray) -> np.ndarray:
-        q = np.clip(prior * (in_p / positive.sum()) / np.maximum(in_u / (~positive).sum(), 1e-9), 1e-3, 0.98)
+        q = np.clip(prior * (in_p / positive.sum()) / np.maximum(in_u / (~positive).sum(), 1e-9), 1e-3, 0.99)
         return np.log(q / (1 - q))
 
     of_p = positive[row]
@@ -155,6 +155,7 @@ def speaking(found: list[tuple[bool, list[list[int]]]], prior: float) -> list[in
     """
     positive = np.array([y for y, _ in found])
     n_p, n_u = positive.sum(), (~positive).sum()
+    least = max(5, 0.004 * n_p)  # a word of a few copied documents is no sign
     flat = [(d, w, f) for d, (_, words) in enumerate(found) for w, features in enumerate(words) for f in features]
     if not flat:
         return []
@@ -171,7 +172,7 @@ def speaking(found: list[tuple[bool, list[list[int]]]], prior: float) -> list[in
         z = (p / n_p - u / n_u) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_p + 1 / n_u))
         spread = np.sqrt(1 / np.maximum(p, 1) + 1 / np.maximum(u, 1))
         lower = np.log(prior * np.maximum(p, 0.5) / n_p) - np.log(np.maximum(u, 0.5) / n_u) - 2 * spread
-        bound = np.where((z > 4) & (p >= 5) & (lower > np.log(0.5)), lower, -np.inf)
+        bound = np.where((z > 4) & (p >= least) & (lower > np.log(0.5)), lower, -np.inf)
         best = int(bound.argmax())
         if bound[best] == -np.inf:
             break
