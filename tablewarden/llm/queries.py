@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import bpe, neardup, pii, substrings, toxicity
+from tablewarden.llm import bpe, decontaminate, neardup, pii, substrings, toxicity
 from tablewarden.llm.common import source
 
 
@@ -33,6 +33,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(source(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
 
@@ -42,7 +46,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op6_pii": op6_pii,
+    "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontaminate.ORACLE,
+}
