@@ -57,8 +57,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def table_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df`` (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the size of ``df`` (file sizes for a scan), for which no job runs.
+
+    A plan without statistics says a size near the largest number; then the texts are measured.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def bucket_count(df: DataFrame) -> int:
