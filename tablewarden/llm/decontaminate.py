@@ -1,15 +1,15 @@
 """Benchmark decontamination over a positional inverted index, with DataFrame operations only.
 
 The index stores a posting (document, position, term) for every training token whose term occurs in the
-benchmark; it is written once.  Each benchmark window looks up its rarest term by collection frequency; an
-occurrence of that term fixes an alignment of the item with the document.  The lists of the item's other
-terms, adjusted by their offsets, are intersected with the index at that alignment, and every window whose
-terms all stand at their places is a match.  With ``slop`` above 0 each term may stand that far from its
-place (the rarest one exactly): a proximity match.
+benchmark; it is written once.  Each benchmark window looks up its rarest terms by collection frequency; their
+lists, adjusted by their offsets, are intersected first, and what is left are alignments of an item with a
+document.  The lists of the item's other terms are then intersected with the index at those alignments, and
+every window whose terms all stand at their places is a match.  With ``slop`` above 0 each term may stand
+that far from its place (the rarest ones exactly): a proximity match.
 
-The vocabulary, the anchors and the aligned documents are broadcast only while their counted rows stay
+The vocabulary, the marks and the aligned documents are broadcast only while their counted rows stay
 under ``BROADCAST_ROWS``; beyond that they are shuffled.  Common terms are counted by partial sums and are
-never anchors unless a window has no rarer one.
+never marks unless a window has no rarer one.
 
 Defined cases: a null text has no words; an item of fewer words than a window, but not none, is one window;
 a null item_id takes no part in ``items`` but its windows hit; null and repeated doc_id: rows are told apart
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm.common import written
 
-WIDTH, BROADCAST_ROWS = 10, 1_000_000
+WIDTH, BROADCAST_ROWS, MARKS = 10, 1_000_000, 2
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,11 +77,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
     starts = items.where(F.col("at") <= F.greatest(F.col("length") - width, F.lit(0))).select("item", F.col("at").alias("start"), F.least("length", F.lit(width)).alias("size"))
     window = starts.join(items, "item").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("size")))
     rated = window.join(frequency, "term", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
-    anchors = rated.groupBy("item", "start").agg(F.min(F.struct("frequency", "at", "term")).alias("least")).where("least.frequency > 0").select("item", "least.at", "least.term").distinct()
-    anchors = written(anchors, "anchors")
-
-    aligned = index.join(_small(anchors), "term").select("doc_id", "text_key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    aligned = written(aligned, "aligned")
+    # the rarest MARKS terms of each window; a window that occurs has all of them at one alignment
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct("frequency", "at", "term"))), 1, MARKS)
+    marks = rated.groupBy("item", "start").agg(ranked.alias("marks")).where(F.get("marks", F.lit(0))["frequency"] > 0)
+    marks = marks.select("item", F.explode("marks").alias("m")).select("item", "m.at", "m.term").distinct()
+    marks = written(marks, "marks").join(first.select("item", "length"), "item").withColumn("needed", F.least("length", F.lit(MARKS)))
+
+    places = index.join(_small(marks), "term").select("doc_id", "text_key", "item", (F.col("pos") - F.col("at")).alias("shift"), "needed")
+    aligned = places.groupBy("doc_id", "text_key", "item", "shift").agg(F.count("*").alias("met"), F.first("needed").alias("needed"))
+    aligned = written(aligned.where(F.col("met") >= F.col("needed")).select("doc_id", "text_key", "item", "shift"), "aligned")
     same = index["doc_id"].eqNullSafe(F.col("_id")) & (index["text_key"] == F.col("_key"))
     held = written(aligned.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "aligned-documents")
     lists = index.join(_small(held), same, "left_semi")
