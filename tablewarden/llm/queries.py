@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import bpe, decontaminate, fingerprint, neardup, pii, substrings, toxicity
+from tablewarden.llm import bpe, decontaminate, fingerprint, licenses, neardup, pii, substrings, toxicity
 from tablewarden.llm.common import source
 
 
@@ -29,6 +29,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(source(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(source(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(source(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
@@ -56,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": licenses.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
 }

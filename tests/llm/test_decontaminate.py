@@ -57,3 +57,10 @@ def test_proximity(spark):
     b = spark.createDataFrame([(1, "one two three four five")], "item_id int, text string")
     assert [r.n_hit > 0 for r in hits(d, b).orderBy("doc_id").collect()] == [False, False]
     assert [r.n_hit > 0 for r in hits(d, b, slop=1).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_whole_table_equals_sql(spark, sf_dir):
+    from tablewarden.llm.decontaminate import ORACLE
+    from tests.llm.oracle import same_rows
+
+    same_rows(digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), ORACLE, sf_dir)
