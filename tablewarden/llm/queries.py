@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import bpe, decontaminate, fingerprint, licenses, neardup, pii, substrings, toxicity
+from tablewarden.llm import bpe, chat, decontaminate, fingerprint, licenses, neardup, pii, substrings, toxicity
 from tablewarden.llm.common import source
 
 
@@ -41,6 +41,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.with_probe(source(spark, sf_dir, "conversations")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
 
@@ -56,11 +60,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_chat_format": chat.ORACLE,
     "op5_license_scan": licenses.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
 }
