@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from tablewarden.llm.common import keyed, text_rows
 
 #: Entries of a worker's memos.
-MEMO_WORDS, MEMO_FRAGMENTS = 300_000, 300_000
+MEMO_WORDS, MEMO_FRAGMENTS = 150_000, 50_000
 
 
 def byte_characters() -> list[str]:

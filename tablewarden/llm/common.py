@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that a mapper gathers before it sends a chunk on.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 #: Bytes of table that one hash bucket answers for; one bucket is what a reduce task holds at once.
 BUCKET_BYTES = 16 << 20
 
@@ -84,7 +84,7 @@ def word_hashes(words: Iterable[bytes], cache: dict[bytes, int]) -> np.ndarray:
     for w in words:
         h = cache.get(w)
         if h is None:
-            if len(cache) > 200_000:
+            if len(cache) > 100_000:
                 cache.clear()
             h = cache[w] = digest(w)
         add(h)
@@ -169,8 +169,15 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send Python workers Arrow batches of a few MB, where the session sets no bound: texts may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0")) not in range(1, 4 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text only, so that columns of other names never reach Python or a shuffle."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

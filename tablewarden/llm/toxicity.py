@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import keyed, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import bound_batches, keyed, shingle_set, text_rows, word_hashes, written
 
 #: Documents that the classifier is fitted on, features that it may use, hashed feature space.
 SAMPLE_P, SAMPLE_U, FEATURES, SPACE = 4_000, 12_000, 2_048, 1 << 20
@@ -59,7 +59,7 @@ class _Reader:
         for w in set(_WORD.findall(text.lower())):
             got = memo.get(w)
             if got is None:
-                if len(memo) > 300_000:
+                if len(memo) > 100_000:
                     memo.clear()
                 got = memo[w] = tuple(self.choose(word_features(w[:256])))
             if got:
@@ -270,6 +270,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the documents that score at or above ``threshold``; all columns as they were."""
     model = train(docs, labels, ~held_out())
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
