@@ -169,10 +169,13 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch for Python workers, and the setting's name.
+BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Send Python workers Arrow batches of a few MB, where the session sets no bound: texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0")) not in range(1, 4 << 20):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Send Python workers Arrow batches of a few MB, as texts may be long."""
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
