@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import bpe, chat, decontaminate, fingerprint, licenses, neardup, pii, substrings, toxicity
+from tablewarden.llm import bpe, chat, decontaminate, fingerprint, licenses, maxent, neardup, pii, substrings, toxicity
 from tablewarden.llm.common import source
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.digest(source(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(source(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent": op1_maxent,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_minhash_neardup": op4_minhash_neardup,
