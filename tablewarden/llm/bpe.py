@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tablewarden.llm.common import keyed, text_rows
+from tablewarden.llm.common import keyed, lean, text_rows
 
 #: Entries of a worker's memos.
-MEMO_WORDS, MEMO_FRAGMENTS = 150_000, 50_000
+MEMO_WORDS, MEMO_FRAGMENTS = 80_000, 20_000
 
 
 def byte_characters() -> list[str]:
@@ -188,6 +188,8 @@ def _rows(content, make, schema: pa.Schema):
         for batch in batches:
             rows = [make(codec, k, t) for k, t in text_rows(iter([batch]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+        codec.seen_words.clear()
+        codec.seen_fragments.clear()
 
     return run
 
@@ -206,7 +208,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
     docs = keyed(docs)
-    return docs.mapInArrow(_rows(_content(docs, path), make, schema), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return docs.mapInArrow(lean(_rows(_content(docs, path), make, schema)), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -218,4 +220,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     docs = keyed(docs)
-    return docs.mapInArrow(_rows(_content(docs, path), make, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(lean(_rows(_content(docs, path), make, schema)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

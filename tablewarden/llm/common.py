@@ -9,10 +9,12 @@ grows with the input (``bucket_count``).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +171,26 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _trim() -> None:
+    """Give memory that the worker no longer uses back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at its end no more memory held than its caches need."""
+
+    def drained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _trim()
+
+    return drained
+
+
 #: Bytes of an Arrow batch for Python workers, and the setting's name.
 BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 

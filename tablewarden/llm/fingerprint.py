@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import neardup
-from tablewarden.llm.common import ascii_lower, keyed, minima, permutations, shingle_set, table_bytes, text_rows, word_hashes
+from tablewarden.llm.common import ascii_lower, keyed, lean, minima, permutations, shingle_set, table_bytes, text_rows, word_hashes
 
 WIDTH, COUNT, SEED = 5, 128, 77
 #: Bytes of table that one range of documents has about.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             rows = [(k, shown(of(t))) for k, t in text_rows(iter([batch]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return keyed(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return keyed(docs).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -147,10 +147,10 @@ def compare(docs: DataFrame) -> DataFrame:
     # a summary of all ids whose size depends on the number of ranges alone; so does what else the driver gets
     cuts = ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     bounds = np.array(sorted({int(x) for x in cuts}), np.int64)
-    firsts = docs.select("doc_id").mapInArrow(_least(bounds), "part int, least long").groupBy("part").agg(F.min("least").alias("least"))
+    firsts = docs.select("doc_id").mapInArrow(lean(_least(bounds)), "part int, least long").groupBy("part").agg(F.min("least").alias("least"))
     firsts = sorted((r.part, r.least) for r in firsts.collect())
     guests = {least: firsts[i - 1][0] for i, (_, least) in enumerate(firsts)}
-    dealt = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_deal(bounds, guests), "part int, own boolean, doc_id long, text_key long, packed binary")
+    dealt = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_deal(bounds, guests)), "part int, own boolean, doc_id long, text_key long, packed binary")
     dealt = dealt.repartitionById(ranges, F.col("part"))
     order = ["part", F.desc("own"), F.asc_nulls_first("doc_id"), "text_key"]
-    return dealt.sortWithinPartitions(*order).mapInArrow(_compare, _OUT_SQL)
+    return dealt.sortWithinPartitions(*order).mapInArrow(lean(_compare), _OUT_SQL)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import CHUNK_WORDS, ascii_lower, bucket_count, keyed, least_uint, mix, pack, text_rows, unpack, word_hashes, written
+from tablewarden.llm.common import CHUNK_WORDS, ascii_lower, bucket_count, keyed, lean, least_uint, mix, pack, text_rows, unpack, word_hashes, written
 
 CLASSES, ROWS, BLOCK, ROUNDS, RATE = 32, 1 << 14, 64, 2, 0.4
 _END = 0  # class 0 is the end's own
@@ -162,7 +162,7 @@ def train(docs: DataFrame) -> np.ndarray:
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(ROUNDS))
     for r in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
-        blocks = docs.where(turn == r).mapInArrow(_trainer(shared), "block int, data binary").groupBy("block").applyInArrow(_average, "block int, data binary")
+        blocks = docs.where(turn == r).mapInArrow(lean(_trainer(shared)), "block int, data binary").groupBy("block").applyInArrow(_average, "block int, data binary")
         rows = rows.copy()
         for b in blocks.collect():  # a fixed number of rows of a fixed size
             rows[b.block * BLOCK : (b.block + 1) * BLOCK] = np.frombuffer(b.data, np.float32).reshape(BLOCK, CLASSES)
@@ -276,7 +276,7 @@ def _gather(table: pa.Table) -> pa.Table:
 def counts(docs: DataFrame, training: Column) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """For each row its tokens, known tokens and sum of log10(count + 1); and tokens and types by class."""
     docs = keyed(docs)
-    mapped = docs.withColumn("text_key", F.xxhash64("text")).withColumn("training", training).mapInArrow(_counter(n := bucket_count(docs)), _ROW_SQL)
+    mapped = docs.withColumn("text_key", F.xxhash64("text")).withColumn("training", training).mapInArrow(lean(_counter(n := bucket_count(docs))), _ROW_SQL)
     table = written(mapped.groupBy("bucket").applyInArrow(_adder, _ROW_SQL), "counts")
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in table.where(f"kind = {_STATS}").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
@@ -311,7 +311,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     base, n, v = counts(docs, training)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(training)))
     spare = np.log10(n + v + 1.0)
-    scored = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_scorer(shared, spare), "doc_id long, text_key long, class_score double")
+    scored = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_scorer(shared, spare)), "doc_id long, text_key long, class_score double")
     scored = scored.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("class_score").alias("class_score"))
     out = base.join(scored, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     total, kinds = int(n.sum()), int(v.sum())

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import ascii_lower, keyed, minima, mix, permutations, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, shingle_set, text_rows, word_hashes, written
 from tablewarden.llm.components import components
 
 BANDS, ROWS, BITS, SEED = 32, 4, 4, 20240607
@@ -184,7 +184,7 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     """One row per row of ``docs``: doc_id, a hash of the text (text_key),
     n_shingles, component_id, kept, and the class of equal sets (class_id)."""
     docs = keyed(docs)
-    rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(width), _SIGNATURE_SQL), "signatures")
+    rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_signatures(width)), _SIGNATURE_SQL), "signatures")
     rep = F.coalesce("doc_id", F.lit(_LAST)).alias("rep")
     classes = written(rows.where("n_shingles > 0").select("*", rep).groupBy("h1", "h2").agg(F.min("rep").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
 
@@ -196,7 +196,7 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     clusters = written(components(near), "clusters")
 
     texts = docs.alias("d").join(clusters.alias("k"), F.coalesce("d.doc_id", F.lit(_LAST)) == F.col("k.node"), "left_semi")
-    sets = written(texts.mapInArrow(_sets(width), _SET_SQL).select(rep, "shingles").join(classes.select("rep"), "rep", "left_semi"), "sets")
+    sets = written(texts.mapInArrow(lean(_sets(width)), _SET_SQL).select(rep, "shingles").join(classes.select("rep"), "rep", "left_semi"), "sets")
     size = written(clusters.groupBy("component").agg(F.count("*").alias("c")), "sizes")
     meet = written(_blocks(clusters.select(F.col("node").alias("rep"), "component"), "component", size, CLUSTER_BLOCK), "meetings").join(sets, "rep")
     links = meet.groupBy("component", "lo", "hi").applyInArrow(_cluster_links(num, den), "u long, v long").distinct()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import keyed, text_rows, written
+from tablewarden.llm.common import keyed, lean, text_rows, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENCE, MIN_SEEDS = 3, 0.8, 3
@@ -173,7 +173,7 @@ def score_graph(edges: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base spans and all spans of every row, as arrays of (kind, start, stop)."""
-    rows = written(keyed(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(_read, _SQL), "spans")
+    rows = written(keyed(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_read), _SQL), "spans")
     edges = rows.select("doc_id", "text_key", F.explode("edges").alias("e")).select("doc_id", "text_key", "e.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     trusted = score_graph(edges.select("pattern", "kind", "instance", "seed"))
     learned = edges.where("not seed").join(trusted, ["pattern", "kind"], "left_semi")

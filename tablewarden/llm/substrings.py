@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import CHUNK_WORDS, bucket_count, keyed, least_uint, mix, pack, rolling, text_rows, unpack, word_hashes, written
+from tablewarden.llm.common import CHUNK_WORDS, bucket_count, keyed, lean, least_uint, mix, pack, rolling, text_rows, unpack, word_hashes, written
 
 _LAST = (1 << 63) - 1
 _ROWS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
@@ -204,9 +204,9 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     end exclusive) and ``kept_text``, the kept words joined by one space."""
     docs = keyed(docs)
     n = bucket_count(docs)  # of windows by hash, and of documents by doc_id
-    found = docs.mapInArrow(_mapper(width, n), _ROWS_SQL).groupBy("bucket").applyInArrow(_reducer(n), _ROWS_SQL)
+    found = docs.mapInArrow(lean(_mapper(width, n)), _ROWS_SQL).groupBy("bucket").applyInArrow(_reducer(n), _ROWS_SQL)
     flags = written(found, "repeats")
-    texts = docs.mapInArrow(_compressed(n), _ROWS_SQL)
+    texts = docs.mapInArrow(lean(_compressed(n)), _ROWS_SQL)
     schema = "doc_id long, n_words long, n_removed long, starts array<long>, ends array<long>, kept_text string"
     return flags.unionByName(texts).groupBy("bucket").applyInArrow(_finisher(width), schema)
 

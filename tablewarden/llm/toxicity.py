@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import bound_batches, keyed, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import bound_batches, keyed, lean, shingle_set, text_rows, word_hashes, written
 
 #: Documents that the classifier is fitted on, features that it may use, hashed feature space.
 SAMPLE_P, SAMPLE_U, FEATURES, SPACE = 4_000, 12_000, 2_048, 1 << 20
@@ -225,15 +225,15 @@ def train(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     u = docs.where(F.col("doc_id").isNotNull() & training).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_U)
     ids = p.select("doc_id", F.lit(True).alias("positive")).unionByName(u.select("doc_id", F.lit(False).alias("positive")))
     sample = docs.join(F.broadcast(written(ids, "sample-ids")), "doc_id").select("doc_id", "text", "positive")
-    sample = sample.mapInArrow(_near, "doc_id long, text string, positive boolean, near long").dropDuplicates(["positive", "near"])
+    sample = sample.mapInArrow(lean(_near), "doc_id long, text string, positive boolean, near long").dropDuplicates(["positive", "near"])
     sample = written(sample, "sample")
     sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model(np.empty(0, np.int64), np.empty(0), 0.0, constant=0.0 if not sizes.get(True) else prior)
-    counts = sample.mapInArrow(_counts, "block int, counts binary")
+    counts = sample.mapInArrow(lean(_counts), "block int, counts binary")
     places = counts.groupBy("block").applyInArrow(_promising(sizes[True], sizes[False]), "place long, z double")
     places = [r.place for r in places.orderBy(F.desc("z"), "place").limit(FEATURES).collect()]
-    found = [(r.positive, r.present) for r in sample.mapInArrow(_present(places), "positive boolean, present array<array<long>>").collect()]
+    found = [(r.positive, r.present) for r in sample.mapInArrow(lean(_present(places)), "positive boolean, present array<array<long>>").collect()]
     features = speaking(found, prior)
     if not features:
         return Model(np.empty(0, np.int64), np.empty(0), 0.0, constant=prior)
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([of(t) for _, t in text_rows(iter([batch]))], pa.float64())], schema=schema)
 
-    return keyed(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, score double")
+    return keyed(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, text_key long, score double")
 
 
 def held_out() -> Column:
@@ -278,4 +278,4 @@ def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         for batch in batches:
             yield batch.filter(pa.array([of(t) < threshold for _, t in text_rows(iter([batch]))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
