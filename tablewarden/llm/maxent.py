@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import CHUNK_WORDS, ascii_lower, bucket_count, keyed, lean, least_uint, mix, pack, text_rows, unpack, word_hashes, written
+from tablewarden.llm.common import CHUNK_WORDS, ascii_lower, bucket_count, keyed, lean, least_uint, mix, pack, text_rows, unpack, written
 
 CLASSES, ROWS, BLOCK, ROUNDS, RATE = 32, 1 << 14, 64, 2, 0.4
 _END = 0  # class 0 is the end's own
@@ -45,39 +46,38 @@ class Reader:
     """Token hashes of a text, the end token last; the low five bits are the class."""
 
     def __init__(self):
-        self.hashes: dict[bytes, int] = {}
-        self.classes: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        words = ascii_lower(text.encode("utf-8", "surrogatepass")).split()
-        known = self.classes
-        if len(known) > 100_000:
-            known.clear()
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = word_hashes(words, self.hashes) & np.uint64(~31 & (1 << 64) - 1)
-        kinds = []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = 1 + zlib.crc32(w.rstrip(_PUNCTUATION)[-3:]) % (CLASSES - 1)
-            kinds.append(k)
-        out[:-1] |= np.array(kinds, np.uint64)
-        out[-1] = _END
-        return out
+        known = self.known
+        out = []
+        add = out.append
+        for w in ascii_lower(text.encode("utf-8", "surrogatepass")).split():
+            token = known.get(w)
+            if token is None:
+                if len(known) > 100_000:
+                    known.clear()
+                kind = 1 + zlib.crc32(w.rstrip(_PUNCTUATION)[-3:]) % (CLASSES - 1)
+                token = known[w] = xxhash.xxh3_64_intdigest(w) & ~31 | kind
+            add(token)
+        add(_END)
+        return np.array(out, np.uint64)
 
 
 def classes_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(31)).astype(np.int64)
 
 
-def features(tokens: np.ndarray) -> np.ndarray:
-    """Rows of the weights for each token of one document, from the three tokens before it."""
-    padded = np.concatenate([np.full(3, 1 << 40, np.uint64), tokens])
+_START = np.full(3, 1 << 40, np.uint64)
+
+
+def features(padded: np.ndarray) -> np.ndarray:
+    """Rows of the weights for every token but the first three, from the three tokens before it."""
     one, two, three = padded[2:-1], padded[1:-2], padded[:-3]
-    low = np.uint64(31)
+    low, wide = np.uint64(31), np.uint64(64)
     with np.errstate(over="ignore"):
-        keys = [mix(one + np.uint64(1)), mix((one & low) * np.uint64(64) + (two & low) + np.uint64(1 << 50)), mix(two + np.uint64(3)), mix((two & low) * np.uint64(64) + (three & low) + np.uint64(1 << 51))]
-    return np.stack([(k >> np.uint64(40)).astype(np.int64) & (ROWS - 1) for k in keys], axis=1)
+        keys = (one + np.uint64(1), (one & low) * wide + (two & low) + np.uint64(1 << 50), two + np.uint64(3), (two & low) * wide + (three & low) + np.uint64(1 << 51))
+        return np.stack([((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64) for k in keys], axis=1)
 
 
 def log_softmax(scores: np.ndarray) -> np.ndarray:
@@ -87,16 +87,23 @@ def log_softmax(scores: np.ndarray) -> np.ndarray:
 
 def _batches(docs: Iterator[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(features, classes, document lengths) of about ``size`` tokens at a time."""
-    rows, kinds, lengths = [], [], []
+
+    def made(held: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        padded = np.concatenate([x for t in held for x in (_START, t)])
+        # where a document's own tokens stand, behind its three starting ones
+        at = np.arange(lengths.sum()) + np.repeat(3 * np.arange(len(lengths)), lengths)
+        return features(padded)[at], classes_of(padded[3:])[at], lengths
+
+    held: list[np.ndarray] = []
+    n = 0
     for tokens in docs:
-        rows.append(features(tokens))
-        kinds.append(classes_of(tokens))
-        lengths.append(len(tokens))
-        if sum(lengths) >= size:
-            yield np.concatenate(rows), np.concatenate(kinds), np.array(lengths)
-            rows, kinds, lengths = [], [], []
-    if rows:
-        yield np.concatenate(rows), np.concatenate(kinds), np.array(lengths)
+        held.append(tokens)
+        n += len(tokens)
+        if n >= size:
+            yield made(held, np.array([len(t) for t in held]))
+            held, n = [], 0
+    if held:
+        yield made(held, np.array([len(t) for t in held]))
 
 
 class Weights:
@@ -134,7 +141,7 @@ _BLOCK = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 def _trainer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, read = Weights(shared.value), Reader()
-        for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), 4096):
+        for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), 32_768):
             for i in range(0, len(kinds), 4096):
                 weights.learn(at[i : i + 4096], kinds[i : i + 4096])
         met = weights.met.reshape(-1, BLOCK)
@@ -294,7 +301,7 @@ def _scorer(shared, spare: np.ndarray):
         weights, read = Weights(shared.value), Reader()
         for batch in batches:
             sums = []
-            for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), 16_384):
+            for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), 65_536):
                 logs = np.empty(len(kinds))
                 for i in range(0, len(kinds), 16_384):
                     some = kinds[i : i + 16_384]

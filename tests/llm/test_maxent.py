@@ -53,7 +53,7 @@ def test_learning_lowers_the_loss():
     for _ in range(8000):
         text.append((text[-1] * 3 + 1) % 40 if rng.random() < 0.9 else int(rng.integers(40)))
     t = read(" ".join(words[i] for i in text))
-    at, kinds = features(t), classes_of(t)
+    at, kinds = features(np.concatenate([np.full(3, 1 << 40, np.uint64), t])), classes_of(t)
     w = Weights(np.zeros((ROWS, CLASSES), np.float32))
     loss = lambda: -log_softmax(w.scores(at))[np.arange(len(kinds)), kinds].mean()
     before = loss()
