@@ -1,7 +1,8 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-A token's probability is P(class | context) * P(token | class).  The class of a word is a hash of its last
-letters, known from the word alone.  P(class | context) is a maximum-entropy model over hashed features of the
+A token's probability is P(class | context) * P(token | class).  A word's last letters hash to one of ``SUFFIXES``
+groups, and groups that keep the same company are clustered into classes: Spark counts which groups follow which
+in the training documents (a table of fixed size), and the driver factors and clusters it.  P(class | context) is a maximum-entropy model over hashed features of the
 context: the word before, the pair of classes before, the word before that (skip one) and the pair of
 classes with a skip.  P(token | class) comes from the counts of all training tokens with one added to each, one
 share being kept for unknown tokens, so the probabilities of a context sum to one.
@@ -15,7 +16,8 @@ Nothing that grows with the corpus reaches the driver.
 
 Defined cases: a null text counts as empty and is its end token alone; a null doc_id is a training document;
 repeated rows are repeated (and count in training as often); without training documents every count is 0;
-other columns are ignored; an empty table gives no rows.  Tokens are told apart by 59-bit hashes.
+other columns are ignored; an empty table gives no rows.  Tokens are told apart by 54-bit hashes and
+the group of their last letters.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm.common import CHUNK_WORDS, ascii_lower, bucket_count, keyed, lean, least_uint, mix, pack, text_rows, unpack, written
 
-CLASSES, ROWS, BLOCK, ROUNDS, RATE = 32, 1 << 14, 64, 2, 0.4
-_END = 0  # class 0 is the end's own
+CLASSES, SUFFIXES, ROWS, BLOCK, ROUNDS, RATE = 32, 1024, 1 << 14, 64, 2, 0.4
+_END = 0  # group 0 and class 0 are the end's own
+_PAIR_BLOCK = 16
 _PUNCTUATION = b".,;:!?%&*$#|\"'()"
 
 
@@ -43,7 +46,7 @@ def held_out() -> Column:
 
 
 class Reader:
-    """Token hashes of a text, the end token last; the low five bits are the class."""
+    """Token hashes of a text, the end token last; the low ten bits are the group of its last letters."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -57,26 +60,53 @@ class Reader:
             if token is None:
                 if len(known) > 100_000:
                     known.clear()
-                kind = 1 + zlib.crc32(w.rstrip(_PUNCTUATION)[-3:]) % (CLASSES - 1)
-                token = known[w] = xxhash.xxh3_64_intdigest(w) & ~31 | kind
+                group = 1 + zlib.crc32(w.rstrip(_PUNCTUATION)[-3:]) % (SUFFIXES - 1)
+                token = known[w] = xxhash.xxh3_64_intdigest(w) & -SUFFIXES | group
             add(token)
         add(_END)
         return np.array(out, np.uint64)
 
 
-def classes_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(31)).astype(np.int64)
+def groups_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(SUFFIXES - 1)).astype(np.int64)
+
+
+def induce(pairs: np.ndarray, size: int = 12, rounds: int = 30) -> np.ndarray:
+    """A class for each group, by weighted k-means over the leading factors of its neighbours' frequencies."""
+    near = np.hstack([pairs, pairs.T]).astype(float)
+    total = near.sum(axis=1)
+    share = np.sqrt(near / np.maximum(total, 1)[:, None]) / np.sqrt(np.sqrt((near.sum(axis=0) + 1e-9) / max(near.sum(), 1)))
+    share[total < 5] = 0
+    values, vectors = np.linalg.eigh(share @ share.T)
+    points = vectors[:, -size:] * np.sqrt(np.maximum(values[-size:], 0))
+    weight = np.sqrt(total)
+    weight[_END] = 0
+    centers = [points[weight.argmax()]]
+    nearest = ((points - centers[0]) ** 2).sum(axis=1)
+    for _ in range(CLASSES - 2):
+        centers.append(points[(nearest * weight).argmax()])
+        nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
+    middle = np.array(centers)
+    for _ in range(rounds):
+        of = ((points[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for k in range(len(middle)):
+            if (mine := weight * (of == k)).any():
+                middle[k] = (points * mine[:, None]).sum(axis=0) / mine.sum()
+    of += 1
+    of[_END] = 0
+    return of
 
 
 _START = np.full(3, 1 << 40, np.uint64)
 
 
-def features(padded: np.ndarray) -> np.ndarray:
-    """Rows of the weights for every token but the first three, from the three tokens before it."""
-    one, two, three = padded[2:-1], padded[1:-2], padded[:-3]
-    low, wide = np.uint64(31), np.uint64(64)
+def features(padded: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Rows of the weights for every token but the first three, from the three tokens before it and their classes."""
+    one, two = padded[2:-1], padded[1:-2]
+    kinds = kinds.astype(np.uint64)
+    wide = np.uint64(64)
     with np.errstate(over="ignore"):
-        keys = (one + np.uint64(1), (one & low) * wide + (two & low) + np.uint64(1 << 50), two + np.uint64(3), (two & low) * wide + (three & low) + np.uint64(1 << 51))
+        keys = (one + np.uint64(1), kinds[2:-1] * wide + kinds[1:-2] + np.uint64(1 << 50), two + np.uint64(3), kinds[1:-2] * wide + kinds[:-3] + np.uint64(1 << 51))
         return np.stack([((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64) for k in keys], axis=1)
 
 
@@ -85,14 +115,15 @@ def log_softmax(scores: np.ndarray) -> np.ndarray:
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def _batches(docs: Iterator[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _batches(docs: Iterator[np.ndarray], classes: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(features, classes, document lengths) of about ``size`` tokens at a time."""
 
     def made(held: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         padded = np.concatenate([x for t in held for x in (_START, t)])
         # where a document's own tokens stand, behind its three starting ones
         at = np.arange(lengths.sum()) + np.repeat(3 * np.arange(len(lengths)), lengths)
-        return features(padded)[at], classes_of(padded[3:])[at], lengths
+        kinds = classes[groups_of(padded)]
+        return features(padded, kinds)[at], kinds[3:][at], lengths
 
     held: list[np.ndarray] = []
     n = 0
@@ -140,8 +171,9 @@ _BLOCK = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 
 def _trainer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, read = Weights(shared.value), Reader()
-        for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), 32_768):
+        rows, classes = shared.value
+        weights, read = Weights(rows), Reader()
+        for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), classes, 32_768):
             for i in range(0, len(kinds), 4096):
                 weights.learn(at[i : i + 4096], kinds[i : i + 4096])
         met = weights.met.reshape(-1, BLOCK)
@@ -162,13 +194,13 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table([table["block"][:1], pa.array([(total / met[:, None]).astype(np.float32).tobytes()], pa.binary())], schema=_BLOCK)
 
 
-def train(docs: DataFrame) -> np.ndarray:
+def train(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Weights (ROWS x CLASSES) from all rows of ``docs``, each of which takes part in one round."""
     docs = keyed(docs)
     rows = np.zeros((ROWS, CLASSES), np.float32)
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(ROUNDS))
     for r in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        shared = docs.sparkSession.sparkContext.broadcast((rows, classes))
         blocks = docs.where(turn == r).mapInArrow(lean(_trainer(shared)), "block int, data binary").groupBy("block").applyInArrow(_average, "block int, data binary")
         rows = rows.copy()
         for b in blocks.collect():  # a fixed number of rows of a fixed size
@@ -176,9 +208,9 @@ def train(docs: DataFrame) -> np.ndarray:
     return rows
 
 
-_ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("class", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())])
-_ROW_SQL = "bucket long, kind int, chunk long, class int, n long, v long, data binary"
-_TOKENS, _SUMS, _STATS, _DOCS = 0, 1, 2, 3
+_ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("suffix", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())])
+_ROW_SQL = "bucket long, kind int, chunk long, suffix int, n long, v long, data binary"
+_TOKENS, _SUMS, _STATS, _DOCS, _PAIRS = 0, 1, 2, 3, 4
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -211,9 +243,15 @@ def _counter(buckets: int):
         chunk = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         words = 0
+        follow = np.zeros(SUFFIXES * SUFFIXES, np.int64)
 
         def sent() -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
+            learned = [h[4] for h in held if h[3]]
+            if learned:
+                # an end comes before every first word, as a document's start does
+                groups = groups_of(np.concatenate([[np.uint64(_END)], *learned]))
+                np.add(follow, np.bincount(groups[:-1] * SUFFIXES + groups[1:], minlength=len(follow)), out=follow)
             for r in _chunk(chunk, held, buckets) if held else ():
                 rows.append(r)
                 if len(rows) >= 64:
@@ -232,6 +270,9 @@ def _counter(buckets: int):
                     held, words = [], 0
                     chunk += 1
         yield from sent()
+        if follow.any():
+            rows = follow.reshape(-1, _PAIR_BLOCK * SUFFIXES)
+            yield _batch([(-1 - i, _PAIRS, i, None, None, None, pack([least_uint(r)])) for i, r in enumerate(rows)])
 
     return run
 
@@ -240,17 +281,20 @@ def _adder(table: pa.Table) -> pa.Table:
     """A bucket's counts, and for each document of each chunk sums over the bucket's tokens."""
     rows: list[tuple] = []
     parts = []
+    pairs: dict[int, np.ndarray] = {}
     for bucket, kind, chunk, data in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "chunk", "data")), strict=True):
         if kind == _DOCS:
             rows.append((bucket, kind, chunk, None, None, None, data))
+        elif kind == _PAIRS:
+            pairs[chunk] = pairs.get(chunk, 0) + unpack(data)[0].astype(np.int64)
         else:
             parts.append((chunk, unpack(data)))
     if parts:
         tokens, place = np.unique(np.concatenate([p[0] for _, p in parts]), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([p[1] for _, p in parts]).astype(float), minlength=len(tokens))
-        kinds = classes_of(tokens)
-        n, v = (np.bincount(kinds, weights=w, minlength=CLASSES).astype(np.int64) for w in (counts, counts > 0))
-        rows += [(-1, _STATS, None, k, int(n[k]), int(v[k]), None) for k in range(CLASSES) if v[k]]
+        groups = groups_of(tokens)
+        n, v = (np.bincount(groups, weights=w, minlength=SUFFIXES).astype(np.int64) for w in (counts, counts > 0))
+        rows += [(-1, _STATS, None, k, int(n[k]), int(v[k]), None) for k in range(SUFFIXES) if v[k]]
         worth = np.log10(counts + 1)
         at = 0
         for chunk, (own, _, sizes, doc, times) in parts:
@@ -260,6 +304,7 @@ def _adder(table: pa.Table) -> pa.Table:
             total = np.bincount(where, weights=worth[mine] * times)
             known = np.bincount(where, weights=(counts[mine] > 0) * times).astype(np.int64)
             rows.append((-1, _SUMS, chunk, None, None, None, pack([least_uint(docs), total, least_uint(known)])))
+    rows += [(-1, _PAIRS, i, None, None, None, pack([r])) for i, r in pairs.items()]
     return pa.Table.from_batches([_batch(rows)] if rows else [], _ROW)
 
 
@@ -280,15 +325,20 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, mask=blank), pa.array(keys), pa.array(lengths), pa.array(known), pa.array(total)], schema=_BASE)
 
 
-def counts(docs: DataFrame, training: Column) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """For each row its tokens, known tokens and sum of log10(count + 1); and tokens and types by class."""
+def counts(docs: DataFrame, training: Column) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its tokens, known tokens and sum of log10(count + 1); tokens and types by group of last
+    letters; and how often groups follow each other.  The last three have fixed sizes."""
     docs = keyed(docs)
-    mapped = docs.withColumn("text_key", F.xxhash64("text")).withColumn("training", training).mapInArrow(lean(_counter(n := bucket_count(docs))), _ROW_SQL)
+    mapped = docs.withColumn("text_key", F.xxhash64("text")).withColumn("training", training).mapInArrow(lean(_counter(bucket_count(docs))), _ROW_SQL)
     table = written(mapped.groupBy("bucket").applyInArrow(_adder, _ROW_SQL), "counts")
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in table.where(f"kind = {_STATS}").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        n[r["class"]], v[r["class"]] = r.n, r.v
-    return table.where(f"kind <> {_STATS}").groupBy("chunk").applyInArrow(_gather, _BASE_SQL), n, v
+    n, v = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
+    for r in table.where(f"kind = {_STATS}").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r.suffix], v[r.suffix] = r.n, r.v
+    follow = np.zeros((SUFFIXES // _PAIR_BLOCK, _PAIR_BLOCK * SUFFIXES), np.int64)
+    for r in table.where(f"kind = {_PAIRS}").select("chunk", "data").collect():
+        follow[r.chunk] = unpack(r.data)[0]
+    base = table.where(f"kind IN ({_SUMS}, {_DOCS})").groupBy("chunk").applyInArrow(_gather, _BASE_SQL)
+    return base, n, v, follow.reshape(SUFFIXES, SUFFIXES)
 
 
 _SCORE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("class_score", pa.float64())])
@@ -298,10 +348,11 @@ def _scorer(shared, spare: np.ndarray):
     """Sum over a document's tokens of log10 P(class | context) less ``spare``, the log10 size of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, read = Weights(shared.value), Reader()
+        rows, classes = shared.value
+        weights, read = Weights(rows), Reader()
         for batch in batches:
             sums = []
-            for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), 65_536):
+            for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), classes, 65_536):
                 logs = np.empty(len(kinds))
                 for i in range(0, len(kinds), 16_384):
                     some = kinds[i : i + 16_384]
@@ -315,9 +366,10 @@ def _scorer(shared, spare: np.ndarray):
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """op1's columns for every row: token counts, the unigram base and the model's log10 probability."""
     docs = keyed(docs)
-    base, n, v = counts(docs, training)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(training)))
-    spare = np.log10(n + v + 1.0)
+    base, n, v, follow = counts(docs, training)
+    classes = induce(follow)
+    shared = docs.sparkSession.sparkContext.broadcast((train(docs.where(training), classes), classes))
+    spare = np.log10(np.bincount(classes, weights=n + v, minlength=CLASSES) + 1.0)
     scored = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_scorer(shared, spare)), "doc_id long, text_key long, class_score double")
     scored = scored.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("class_score").alias("class_score"))
     out = base.join(scored, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
