@@ -8,7 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewarden.functions.text import NULL_CELLS
 from tablewarden.operators import checks, duplication, validity
 from tablewarden.operators.calibration import Threshold
 from tablewarden.operators.profile import Table, prepare
@@ -112,6 +114,12 @@ def score_table(table: Table, on_stage: Callable[[str], None] | None = None, par
     return TableResult(table, card, found, critical, moderate, **done)
 
 
+def rescore(result: TableResult, cleaned: DataFrame, **options) -> TableResult:
+    """The scorecard of a cleaned table (``_row_id`` and the table's columns), as if its file were read again."""
+    columns = [F.when(F.col(f"`{n}`").isin(*NULL_CELLS), None).otherwise(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(result.table.names)]
+    return score_table(Table(f"{result.table.name} (cleaned)", cleaned.select("_row_id", *columns), list(result.table.names)), **options)
+
+
 def score_all(spark: SparkSession, paths: list[str], **options) -> Summary:
     """Every table of every file; a table that can't be read or scored becomes a failure and stops nothing."""
     from tablewarden.sources.files import load_all_tables

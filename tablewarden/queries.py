@@ -392,6 +392,50 @@ def clean_fill_median(spark, sf_dir):
     return out.withColumn("v", F.rint(F.col("v").cast("double")).cast("long").cast("string"))
 
 
+@query(f"SELECT o_orderkey AS id, CASE WHEN {_SURE} THEN regexp_replace(b, '[,+]', '', 'g') ELSE raw END AS v FROM (SELECT o_orderkey, raw, regexp_replace(raw, '[₹$€£\\s]', '', 'g') AS b FROM (SELECT o_orderkey, {_GROUPED} AS raw FROM orders))")
+def clean_numbers(spark, sf_dir):
+    return _clean(column_of(read(spark, sf_dir, "orders"), "o_orderkey", _grouped()), "inconsistent_format_numeric")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 AND day(o_orderdate) <= 12 THEN raw ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v FROM (SELECT o_orderkey, o_orderdate, {_DATED} AS raw FROM orders)")
+def clean_dates(spark, sf_dir):
+    return _clean(column_of(read(spark, sf_dir, "orders"), "o_orderkey", _dated()), "inconsistent_format_date")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 <> 1 THEN {_DATED} END AS v FROM orders")
+def clean_invalid_dates(spark, sf_dir):
+    return _clean(column_of(read(spark, sf_dir, "orders"), "o_orderkey", F.when(_mod("o_orderkey", 8) == 1, "next week").otherwise(_dated())), "invalid_type_in_date")
+
+
+@query(f"SELECT c_custkey AS id, CASE WHEN regexp_replace(lower(raw), '[^a-z0-9]+', '', 'g') IN ('building', 'buildings') THEN 'BUILDING' ELSE raw END AS v FROM (SELECT c_custkey, {_SEGMENT} AS raw FROM customer)")
+def clean_categories(spark, sf_dir):
+    m = F.col("c_mktsegment")
+    v = F.when(_mod("c_custkey", 50) == 0, F.concat(m, F.lit("S"))).when(_mod("c_custkey", 7) == 0, F.lower(m)).when(_mod("c_custkey", 11) == 0, F.replace(m, F.lit("U"), F.lit(".U"))).otherwise(m)
+    mapping = {"building": {"canonical": "BUILDING", "score": 100.0}, "buildings": {"canonical": "BUILDING", "score": 97.78}, "machinery": {"canonical": "never", "score": 86.0}}
+    return _clean(column_of(read(spark, sf_dir, "customer"), "c_custkey", v), "categorical_inconsistency", None, {"canonical": mapping})
+
+
+@query("SELECT min(doc_id) AS id, text AS v FROM documents GROUP BY text")
+def clean_exact_duplicates(spark, sf_dir):
+    made = column_of(read(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    exact = duplication.exact_duplicates(made.df, ["c0"])
+    found = duplication.DuplicationResult(exact.count(), None, duplication.duplicate_threshold({}), 0, exact=exact)
+    out = remediation.remediate(made, [Finding("t", "(whole row)", "duplication", "exact_duplicate_rows", 1.0, "minor", "")], found)
+    return out.cleaned.select(F.col("_row_id").alias("id"), "v")
+
+
+@query(f"SELECT severity, count(*) AS n FROM (SELECT {_SEVERITY} AS severity FROM (VALUES {_GRADED_SQL}) t(position, issue, p)) GROUP BY severity")
+def severity_counts(spark, sf_dir):
+    return _graded(spark).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'r_name' AS column_name, count(DISTINCT r_name) AS distinct_values, max(n) AS largest FROM (SELECT r_name, count(*) OVER (PARTITION BY r_name) AS n FROM region)")
+def low_cardinality(spark, sf_dir):
+    made = from_dataframe(read(spark, sf_dir, "region").select("r_regionkey", "r_name"), "region", "r_regionkey")
+    shapes = _named(duplication.column_shapes(value_profile(made)), made.names).where("column_name = 'r_name'")
+    return shapes.select("column_name", F.col("values").alias("distinct_values"), "largest")
+
+
 @query("WITH x AS (SELECT l_quantity::DOUBLE AS x FROM lineitem), s AS (SELECT min(x) AS lo, max(x) AS hi, least(count(DISTINCT x), 10) AS bins FROM x) SELECT bucket, count(*) AS n FROM (SELECT greatest(1, CAST(ceil((x - lo) / ((hi - lo) / bins)) AS INT)) AS bucket FROM x, s) GROUP BY bucket")
 def chart_histogram(spark, sf_dir):
     return charts.histogram(_numbers(spark, sf_dir, "lineitem", "l_quantity")).select("bucket", "n")

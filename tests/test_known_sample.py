@@ -48,4 +48,6 @@ def test_cleaning_and_reading_back(spark, result, tmp_path):
     report.write_csv(done, str(tmp_path / "out"))
     again = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert again.count() == 39 and again.where("Annual_Revenue LIKE '%,%'").count() == 0
+    after = pipeline.rescore(result, done.cleaned, as_of_year=2024)
+    assert after.duplication.exact_rows == 0 and after.scorecard.overall > result.scorecard.overall
     assert result.scorecard == pipeline.scorecard(result.completeness, result.consistency, result.duplication, result.structure, result.validity)
