@@ -32,7 +32,8 @@ from tokenizers import Tokenizer
 from tablewarden.llm.common import keyed, lean, text_rows
 
 #: Entries of a worker's memos.
-MEMO_WORDS, MEMO_FRAGMENTS = 80_000, 20_000
+MEMO_WORDS, MEMO_FRAGMENTS = 200_000, 20_000
+_NONE = 1 << 60
 
 
 def byte_characters() -> list[str]:
@@ -46,6 +47,32 @@ def byte_characters() -> list[str]:
 _NEWER = regex.compile("[^\0-\u052f\u2000-\u2070\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3]")
 
 
+class Memo:
+    """What was looked up lately, in two halves: the older goes when the newer is full.  Long keys aren't kept."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def put(self, key, value) -> None:
+        if len(key) <= 64:
+            if len(self.recent) >= self.size // 2:
+                self.older, self.recent = self.recent, {}
+            self.recent[key] = value
+
+    def get(self, key):
+        found = self.recent.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file's content."""
 
@@ -69,8 +96,7 @@ class Codec:
         self.unbyte = {c: b for b, c in enumerate(self.bytes)}
         self.library = Tokenizer.from_str(content)
         self.joined = {pair for token in self.ids for symbols in [self._symbols_of(token)] for pair in zip(symbols, symbols[1:])}
-        self.seen_words: dict[str, list[int]] = {}
-        self.seen_fragments: dict[tuple[str, ...], list[int]] = {}
+        self.seen_words, self.seen_fragments = Memo(MEMO_WORDS), Memo(MEMO_FRAGMENTS)
 
     def _symbols_of(self, token: str) -> list[str]:
         if token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -93,6 +119,22 @@ class Codec:
 
     def merge(self, fragment: tuple[str, ...]) -> list[str]:
         """Merge the pair of lowest rank, the leftmost first, until none is left."""
+        if len(fragment) > 48:
+            return self._merge_long(fragment)
+        parts, rank = list(fragment), self.merges.get
+        ranks = [rank(p, _NONE) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), _NONE)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), _NONE)
+        return parts
+
+    def _merge_long(self, fragment: tuple[str, ...]) -> list[str]:
+        """The same with a heap, for long fragments."""
         parts: list[str | None] = list(fragment)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -115,16 +157,19 @@ class Codec:
                 heapq.heappush(heap, (rank[p], before[i]))
         return [p for p in parts if p is not None]
 
+    def _merged(self, fragment: tuple[str, ...]) -> list[int]:
+        return [self.ids[t] for t in self.merge(fragment) if t in self.ids]
+
     def _word(self, word: str) -> list[int]:
+        fragments = self.fragments(word)
+        if len(fragments) == 1:  # the word itself is memoised
+            return self._merged(fragments[0])
         out: list[int] = []
-        for fragment in self.fragments(word):
+        for fragment in fragments:
             ids = self.seen_fragments.get(fragment)
             if ids is None:
-                ids = [self.ids[t] for t in self.merge(fragment) if t in self.ids]
-                if len(fragment) <= 64:
-                    if len(self.seen_fragments) >= MEMO_FRAGMENTS:
-                        self.seen_fragments.clear()
-                    self.seen_fragments[fragment] = ids
+                ids = self._merged(fragment)
+                self.seen_fragments.put(fragment, ids)
             out += ids
         return out
 
@@ -143,14 +188,15 @@ class Codec:
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
         memo = self.seen_words
+        recent = memo.recent
         for word in self._split(text):
-            ids = memo.get(word)
+            ids = recent.get(word)
             if ids is None:
-                ids = self._word(word)
-                if len(word) <= 64:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[word] = ids
+                ids = memo.get(word)
+                if ids is None:
+                    ids = self._word(word)
+                    memo.put(word, ids)
+                recent = memo.recent
             out += ids
         return out
 
