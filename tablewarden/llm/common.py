@@ -206,6 +206,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def set_aside(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``keep`` in one, ``rest``, so that no name can clash; and what undoes it."""
+    others = [c for c in docs.columns if c not in keep]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(others)]) if others else F.lit(None)
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in keep else F.col(f"rest.f{others.index(c)}").alias(c) for c in docs.columns])
+
+    return docs.select(*keep, rest.alias("rest")), restore
+
+
 def pack(values: list[np.ndarray]) -> bytes:
     """Arrays one after another, each with its dtype and length in front."""
     out = []

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import written
+from tablewarden.llm.common import set_aside, written
 
 WIDTH, BROADCAST_ROWS, MARKS = 10, 1_000_000, 2
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -127,7 +127,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
     """``docs`` without the documents that hold a benchmark window; all columns as they were."""
     found = matches(docs, benchmark, width).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     found = _small(written(found, "contaminated"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left_anti")
+    docs, restore = set_aside(docs, ["doc_id", "text"])
+    return restore(docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left_anti"))
 
 
 ORACLE = r"""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, set_aside, shingle_set, text_rows, word_hashes, written
 from tablewarden.llm.components import components
 
 BANDS, ROWS, BITS, SEED = 32, 4, 4, 20240607
@@ -218,12 +218,12 @@ def dedup(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Dat
     found = groups(docs, width, num, den).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(F.count("*").alias("_n"))
     times = found.groupBy(F.col("_id").alias("_same")).agg(F.sum("_n").alias("_copies"))
     found = written(found.join(times, F.col("_id").eqNullSafe(F.col("_same"))).select("_id", "_text", "_copies"), "kept")
+    docs, restore = set_aside(docs, ["doc_id", "text"])
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")))
-    extra = ["_id", "_text", "_copies"]
-    once = kept.where("_copies = 1").drop(*extra)
+    once = kept.where("_copies = 1").drop("_id", "_text", "_copies")
     order = Window.partitionBy("_id").orderBy("text")
-    more = kept.where("_copies > 1").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop(*extra, "_row")
-    return once.unionByName(more)
+    more = kept.where("_copies > 1").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_id", "_text", "_copies", "_row")
+    return restore(once.unionByName(more))
 
 
 def digest(docs: DataFrame) -> DataFrame:

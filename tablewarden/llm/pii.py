@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import keyed, lean, text_rows, written
+from tablewarden.llm.common import keyed, lean, set_aside, text_rows, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENCE, MIN_SEEDS = 3, 0.8, 3
@@ -198,6 +198,8 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where it is there, follows the text."""
     found = find(docs).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
     kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    kind_of_n = dict(docs.dtypes).get("n_chars")
+    docs, restore = set_aside(docs, ["doc_id", "text", "n_chars"] if kind_of_n else ["doc_id", "text"])
     joined = docs.join(written(found, "mask"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left")
     ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].cast("int").alias("start"), x["stop"].cast("int").alias("stop"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -208,9 +210,9 @@ def mask(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate(ordered, start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
     out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+    if kind_of_n:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind_of_n)))
+    return restore(out)
 
 
 def sha(spans: list[tuple[int, int, int]]) -> str:

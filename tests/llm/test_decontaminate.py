@@ -44,7 +44,7 @@ def test_odd_rows(spark):
     a = " ".join(f"a{i}" for i in range(14))
     bench = [(1, a), (2, "Éa short one"), (3, None), (4, "..."), (10, a.upper()), (None, "nobody knows me"), (1, "x x x x x x x x x x x x"), (5, "of of of")]
     docs = [(1, "..." + a + "!"), (2, "x " * 30), (3, None), (4, ""), (5, "éa short one"), (6, "ÉA Short, one of of OF of"), (7, a[:20] + " z " + a), (7, a[:20]), (None, "so nobody knows me"), (8, "a1 " * 3000 + a), (8, "a1 " * 3000 + a)]
-    d = spark.createDataFrame([(*r, 1, "q") for r in docs], "doc_id long, text string, item_id int, term string").repartition(3)
+    d = spark.createDataFrame([(*r, 1, "q") for r in docs], "doc_id long, text string, _id int, _key string").repartition(3)
     b = spark.createDataFrame([(*r, 3) for r in bench], "item_id int, text string, doc_id int")
     assert rows(digest(d, b)) == brute(docs, bench)
     left = clean(d, b)

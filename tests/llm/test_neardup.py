@@ -57,7 +57,7 @@ def test_family_over_many_blocks_with_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CLUSTER_BLOCK", 5)
     texts = family(60, 100, 4, 1) + family(20, 60, 2, 2) + ["a b", "A B", "a  b", "", None, "solo words here", "x" * 100_000]
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)] + [(4, texts[1]), (None, "a b"), (None, "quite alone")]
-    docs = spark.createDataFrame([(*r, "q", 0) for r in rows], "doc_id long, text string, component_id string, rep int").repartition(3)
+    docs = spark.createDataFrame([(*r, "q", 0) for r in rows], "doc_id long, text string, _copies string, _id int").repartition(3)
     got = sorted(map(tuple, groups(docs, 3).select("doc_id", "n_shingles", "component_id", F_kept()).collect()), key=str)
     want = [(d, n, c, (d is None and c is None) or bool(k)) for d, n, c, k in brute(rows, 3, 80, 100)]
     assert got == sorted(want, key=str)

@@ -60,6 +60,8 @@ def test_context_finds_an_unseen_form(spark):
 
 
 def test_mask_follows_code_points(spark):
-    docs = spark.createDataFrame([(None, "🙂é a@b.cc 1.2.3.4 🙂", 18, "x")], "doc_id long, text string, n_chars long, _spans string")
-    r = mask(docs.drop("_spans")).first()
+    docs = spark.createDataFrame([(None, "🙂é a@b.cc 1.2.3.4 🙂", 18, "x", 5)], "doc_id long, text string, n_chars long, _spans string, _id int")
+    out = mask(docs)
+    r = out.first()
+    assert out.columns == docs.columns and r._spans == "x" and r._id == 5
     assert r.text == "🙂é [EMAIL] [IP] 🙂" and r.n_chars == len(r.text)
