@@ -79,9 +79,9 @@ class _Cleaner:
     def __init__(self, table: Table, config: CleaningConfig, duplicates: DuplicationResult | None):
         self.table, self.config, self.duplicates = table, config, duplicates
         self.df = table.df.withColumn("_gone", F.lit(False)).withColumn("_drop", F.lit(False))
-        self.steps: list[_Step] = []
         self.actions: dict[int, Action] = {}
         self.reviews: dict[int, Review] = {}
+        self.pending: dict[int, _Step] = {}
 
     def change(self, k: int, finding: Finding, value: Callable[[Column], Column], step: _Step) -> None:
         c = self.table.column(finding.column)
@@ -90,10 +90,7 @@ class _Cleaner:
             self.df = self.df.withColumn(f"_d{k}", step.declined)
         self.pending[k] = step
 
-    pending: dict[int, _Step]
-
     def run(self, findings: list[Finding]) -> Remediation:
-        self.pending = {}
         for k, f in enumerate(findings):
             needs_column = f.issue not in ("exact_duplicate_rows", "fuzzy_duplicate_rows", "structural_issue")
             if needs_column and f.column not in self.table.names:
