@@ -138,8 +138,8 @@ def _sets(width: int):
 def confirmed(reps: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links on full sets (den * shared >= num * union) that span the components among ``reps``.
 
-    One count through postings gives the shared shingles of a document with all others.  The first
-    document's component grows first; then only documents outside what is already joined are counted.
+    One count through postings gives the shared shingles of a document with all others.  What no link
+    joins yet is counted first; then all others are, but for those in the component with most of them left.
     """
     n = len(reps)
     sizes = np.array([len(s) for s in sets])
@@ -163,10 +163,15 @@ def confirmed(reps: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
                 lo, hi = min(label[x], label[y]), max(label[x], label[y])
                 label[label == hi] = lo
 
+    counted = np.zeros(n, bool)
     for x in range(n):
-        sizes_of = np.bincount(label, minlength=n)
-        # what lies in the largest component is met from the other side
-        if label[x] != sizes_of.argmax() or sizes_of.max() == 1:
+        if np.count_nonzero(label == label[x]) == 1:
+            count(x)
+            counted[x] = True
+    # one component, the same to the end, is met from the other side: of two components one isn't this one
+    home = int(np.flatnonzero(label == np.bincount(label, weights=~counted).argmax())[0])
+    for x in np.flatnonzero(~counted).tolist():
+        if label[x] != label[home]:
             count(x)
     return pairs
 
