@@ -4,8 +4,8 @@ A document's set is its distinct word shingles; two documents are linked when th
 their sets reaches the threshold, and a group is what links connect.
 
 1.  Each document gets ``BANDS * ROWS`` minima, of which the low ``BITS`` bits are packed as its signature
-    and each band of full minima is hashed as a bucket.  Documents of equal sets form one class and go on
-    as one representative (the least doc_id), so exact copies cost nothing further.
+    and each band of full minima is hashed as a bucket.  Documents of equal sets form one class, which goes
+    on under a number of its own (rep) with the text of one of its rows, so exact copies cost nothing further.
 2.  In each bucket of two or more classes, similarity is estimated from bit counts of the packed
     signatures, corrected for chance collisions.  Classes that the estimate connects form a cluster
     (``components``).  The cut lies more than six standard errors below the threshold.
@@ -18,9 +18,10 @@ Buckets and clusters of any size are split into blocks; a task holds two blocks,
 are visited, so nothing is capped.  Pairs are never rows.
 
 Defined cases: a null text counts as empty; a text without words has an empty set, is linked with nothing
-and is its own group; fewer words than the shingle width form one shingle.  A null doc_id counts as larger
-than any other and is null in the result only if the whole group has none.  Repeated rows are repeated in
-the result.  Other input columns are ignored; an empty table gives no rows.
+and is its own group; fewer words than the shingle width form one shingle.  A group is named by its least
+doc_id, and by null only if it has none; groups that share a name (null or repeated ids) stay apart.  All rows
+that bear their group's name are marked as kept in the result, of which ``dedup`` keeps one.  Repeated rows are
+repeated in the result.  Other input columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, set_aside, shingle_set, text_rows, word_hashes, written
@@ -39,7 +40,6 @@ from tablewarden.llm.components import components
 BANDS, ROWS, BITS, SEED = 32, 4, 4, 20240607
 #: Classes in a block of a bucket, and documents with their sets in a block of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
-_LAST = (1 << 63) - 1
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SIGNATURE_SQL = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
@@ -122,15 +122,15 @@ def _bucket_links(cut: float):
     return run
 
 
-_SET_SQL = "doc_id long, shingles binary"
+_SET_SQL = "rep long, shingles binary"
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
-            rows = [(k, shingle_set(word_hashes(ascii_lower(t.encode("utf-8", "surrogatepass")).split(), cache), width).tobytes()) for k, t in text_rows(iter([batch]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "shingles"])
+            rows = [(k, shingle_set(word_hashes(ascii_lower(t.encode("utf-8", "surrogatepass")).split(), cache), width).tobytes()) for k, t in text_rows(iter([batch]), "rep")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -185,49 +185,60 @@ def _cluster_links(num: int, den: int):
     return run
 
 
-def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: doc_id, a hash of the text (text_key),
-    n_shingles, component_id, kept, and the class of equal sets (class_id)."""
+def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """What ``groups`` gives, and the group's number (group_id), null without words."""
     docs = keyed(docs)
     rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_signatures(width)), _SIGNATURE_SQL), "signatures")
-    rep = F.coalesce("doc_id", F.lit(_LAST)).alias("rep")
-    classes = written(rows.where("n_shingles > 0").select("*", rep).groupBy("h1", "h2").agg(F.min("rep").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
+    # the row whose text stands for the class, one of the least doc_id
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_key"))
+    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(pick.alias("pick"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = written(classes.select("h1", "h2", F.col("pick.doc_id").alias("least"), F.col("pick.text_key").alias("key"), "signature", "bands", F.monotonically_increasing_id().alias("rep")), "classes")
 
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     many = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     sigma = (num / den * (1 - num / den) / (BANDS * ROWS)) ** 0.5 / (1 - 2.0**-BITS)
     members = written(_blocks(buckets, "bucket", many, BUCKET_BLOCK), "members").join(classes.select("rep", "signature"), "rep")
     near = members.groupBy("bucket", "lo", "hi").applyInArrow(_bucket_links(num / den - 6.5 * sigma), "u long, v long").distinct()
-    clusters = written(components(near), "clusters")
+    clusters = written(components(near), "clusters").withColumnRenamed("node", "rep")
 
-    texts = docs.alias("d").join(clusters.alias("k"), F.coalesce("d.doc_id", F.lit(_LAST)) == F.col("k.node"), "left_semi")
-    sets = written(texts.mapInArrow(lean(_sets(width)), _SET_SQL).select(rep, "shingles").join(classes.select("rep"), "rep", "left_semi"), "sets")
+    wanted = clusters.join(classes, "rep").select("rep", F.col("least").alias("_id"), F.col("key").alias("_key"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).groupBy("rep").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInArrow(lean(_sets(width)), _SET_SQL), "sets")
     size = written(clusters.groupBy("component").agg(F.count("*").alias("c")), "sizes")
-    meet = written(_blocks(clusters.select(F.col("node").alias("rep"), "component"), "component", size, CLUSTER_BLOCK), "meetings").join(sets, "rep")
+    meet = written(_blocks(clusters.select("rep", "component"), "component", size, CLUSTER_BLOCK), "meetings").join(sets, "rep")
     links = meet.groupBy("component", "lo", "hi").applyInArrow(_cluster_links(num, den), "u long, v long").distinct()
-    found = written(components(links), "groups")
+    found = written(components(links), "groups").withColumnRenamed("node", "rep")
 
-    named = written(classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")), "classes")
-    blank = F.lit(_LAST)
+    names = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
+    found = written(found.join(names, "component").select("rep", "component", "name"), "names")
+    named = classes.select("rep", "h1", "h2", "least").join(found, "rep", "left")
+    named = written(named.select("h1", "h2", F.coalesce("component", "rep").alias("group_id"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("name"), "least"), "classes")
     out = rows.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    out = out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
-    out = out.withColumns({c: F.when(F.col(c) == blank, F.lit(None)).otherwise(F.col(c)) for c in ("component_id", "class_id")})
+    alone = F.col("group_id").isNull()
+    out = out.select("doc_id", "text_key", "n_shingles", *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(to) for c, to in (("name", "component_id"), ("least", "class_id"))], "group_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per row of ``docs``: doc_id, a hash of the text (text_key),
+    n_shingles, component_id, kept, and the class of equal sets (class_id)."""
+    return _grouped(docs, width, num, den).select("doc_id", "text_key", "n_shingles", "component_id", "class_id", "kept")
+
+
 def dedup(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, all columns as they were.
+    """The rows of ``docs`` that stay, one row of each group, all columns as they were.
 
-    Of rows that repeat a kept document's doc_id the one with the least text stays.
+    Of a group's rows with the least doc_id the one with the least text stays.  Rows without words all stay.
     """
-    found = groups(docs, width, num, den).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(F.count("*").alias("_n"))
-    times = found.groupBy(F.col("_id").alias("_same")).agg(F.sum("_n").alias("_copies"))
-    found = written(found.join(times, F.col("_id").eqNullSafe(F.col("_same"))).select("_id", "_text", "_copies"), "kept")
+    found = _grouped(docs, width, num, den).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(F.first("group_id").alias("_group"), F.count("*").alias("_n"))
+    found = written(found, "candidates")
+    times = found.groupBy("_group").agg(F.sum("_n").alias("_copies"))
+    alone = found.where("_group IS NULL").select("_id", "_text", "_group", F.lit(1).cast("long").alias("_copies"))
+    found = written(found.where("_group IS NOT NULL").join(times, "_group").select("_id", "_text", "_group", "_copies").unionByName(alone), "kept")
     docs, restore = set_aside(docs, ["doc_id", "text"])
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")))
-    once = kept.where("_copies = 1").drop("_id", "_text", "_copies")
-    order = Window.partitionBy("_id").orderBy("text")
-    more = kept.where("_copies > 1").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_id", "_text", "_copies", "_row")
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_text")))
+    once = kept.where("_copies = 1").select(*docs.columns)
+    more = kept.where("_copies > 1").groupBy("_group").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row")).select("_row.*")
     return restore(once.unionByName(more))
 
 

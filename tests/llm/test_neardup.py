@@ -103,3 +103,18 @@ def test_chains_of_versions_in_any_order_stay_whole():
         got = confirmed(np.arange(len(order)), sets, 80, 100)
         assert spanned(sets, got) == spanned(sets, near)
         assert len(got) == len(order) - len(set(spanned(sets, near)))
+
+
+def test_null_and_repeated_ids_lose_no_text_and_no_link(spark):
+    one, two, three = (family(4, 100, 1, seed) for seed in (11, 12, 13))
+    loose = [f"text number {i} " + " ".join(f"q{i}x{j}" for j in range(30)) for i in range(12)]
+    rows = [(None, t) for t in one + loose[:4]] + [(7, t) for t in two + loose[4:8]] + [(None, loose[8]), (3, loose[8]), (5, three[0]), (None, three[1]), (9, three[2]), (9, three[3])]
+    rows += [(None, loose[9])] * 3 + [(7, loose[10])] * 3 + [(None, ""), (None, None), (7, "  "), (7, "  ")]
+    docs = spark.createDataFrame([(*r, {"row": i}) for i, r in enumerate(rows)], "doc_id long, text string, at map<string,int>").repartition(5)
+    got = sorted(map(tuple, groups(docs, 3).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == sorted((w[:3] for w in brute(rows, 3, 80, 100)), key=str)
+    kept = dedup(docs, 3)
+    assert kept.columns == docs.columns
+    kept = [r.at["row"] for r in kept.collect()]
+    stay = [(None, min(one)), (7, min(two)), *((None, t) for t in loose[:4]), *((7, t) for t in loose[4:8]), (3, loose[8]), (5, three[0]), (None, loose[9]), (7, loose[10]), *rows[-4:]]
+    assert sorted((rows[i] for i in kept), key=str) == sorted(stay, key=str)
