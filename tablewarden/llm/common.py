@@ -9,10 +9,11 @@ grows with the input (``bucket_count``).
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
-import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,29 +34,68 @@ _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared checkpoint folder that the session names (a temporary one if it names none)."""
+    """A new path in the shared checkpoint folder that the session names.
+
+    Only a local session, whose tasks all run in this process, may go without one and gets a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "checkpoints", "tablewarden")
-        os.makedirs(root, exist_ok=True)
-        root = f"file://{root}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tablewarden-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_WRITES = threading.Lock()
+_writing = 0
+_found: str | None = None
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries remove their shuffle files at their end; the session's own setting returns with the last of our writes."""
+    global _writing, _found
+    with _WRITES:
+        if not _writing:
+            _found = spark.conf.get(_CLEAN_UP, None)
+            spark.conf.set(_CLEAN_UP, "true")
+        _writing += 1
+    try:
+        yield
+    finally:
+        with _WRITES:
+            _writing -= 1
+            if not _writing:
+                spark.conf.set(_CLEAN_UP, _found) if _found else spark.conf.unset(_CLEAN_UP)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage and survives lost executors.
 
-    The shuffle files behind the write go as soon as it has ended, as nothing reads them again.
+    The shuffle files behind the write go as soon as it has ended, as nothing reads them again.  The table goes
+    when ``release`` is told to, or else when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before) if before else spark.conf.unset(_CLEAN_UP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, of which no plan that is still to run reads anything."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -70,7 +110,7 @@ def table_bytes(df: DataFrame) -> int:
 def bucket_count(df: DataFrame) -> int:
     """Hash buckets for the words of ``df``: in proportion to its size, and at least one for each shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(1 << 20, max(parts, table_bytes(df) // BUCKET_BYTES, 16)))
+    return int(max(parts, table_bytes(df) // BUCKET_BYTES, 16))
 
 
 def ascii_lower(data: bytes) -> bytes:
@@ -196,8 +236,12 @@ BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Send Python workers Arrow batches of a few MB, as texts may be long."""
-    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    """Send Python workers Arrow batches of a few MB, as texts may be long, unless the session has a bound of its own.
+
+    The bound is read when a plan runs, after the operator has returned, so it stays set.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

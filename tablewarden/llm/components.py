@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import written
+from tablewarden.llm.common import release, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,9 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large.distinct(), "edges")
+        release(edges, least)
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(large, least)
         after = _state(edges)
         if after == before:
             break

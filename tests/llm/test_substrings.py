@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tablewarden.llm.substrings import dedup_substrings, digest, removal_intervals
 
@@ -39,5 +40,31 @@ def test_odd_rows(spark):
     assert (5, 0, 20) in spans and (13, 0, 40) in spans and not any(d == 3 for d, _, _ in spans)
 
 
+def results(df, width):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(df, width).collect()), key=str)
+
+
+def test_rows_of_one_doc_id_in_any_partitions(spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, line), (3, line), (3, "x " + line)]
+    first = spark.createDataFrame(rows[:1], SCHEMA).coalesce(1)
+    apart = first.unionByName(spark.createDataFrame(rows[1:], SCHEMA).coalesce(1))
+    assert results(apart, 13) == results(apart.coalesce(1), 13) == brute(rows, 13)
+    assert {r.n_removed for r in dedup_substrings(apart).where("doc_id = 3").collect()} == {20}
+
+
+def test_random_rows_in_random_partitions(spark):
+    rng = random.Random(3)
+    passages = [[f"p{i}w{j}" for j in range(rng.randint(3, 9))] for i in range(12)]
+    rows = []
+    for _ in range(120):
+        t = " ".join(w for p in rng.choices(passages, k=rng.randint(0, 6)) for w in p)
+        rows += [(rng.choice([None, 1, 2, 2, 5, 9, -3, 30]), t)] * rng.choice([1, 1, 1, 3])
+    want = brute(rows, 4)
+    for n in (1, 2, 7):
+        rng.shuffle(rows)
+        assert results(spark.createDataFrame(rows, SCHEMA).repartition(n), 4) == want
+
+
 def test_empty_table(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
