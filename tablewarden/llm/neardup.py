@@ -7,15 +7,17 @@ their sets reaches the threshold, and a group is what links connect.
     and each band of full minima is hashed as a bucket.  Documents of equal sets form one class, which goes
     on under a number of its own (rep) with the text of one of its rows, so exact copies cost nothing further.
 2.  In each bucket of two or more classes, similarity is estimated from bit counts of the packed
-    signatures, corrected for chance collisions.  Classes that the estimate connects form a cluster
-    (``components``).  The cut lies more than six standard errors below the threshold.
-3.  Within a cluster every pair of different components is confirmed on full sets, by counting shared
-    shingles through postings; only links that join two components are returned.  At 32 bands of 4 rows a
-    pair at similarity 0.8 shares no bucket with probability 5e-8.
+    signatures, corrected for chance collisions; the cut lies more than six standard errors below the
+    threshold.  A class goes with its least neighbour (its hub), where full sets confirm links by counting
+    shared shingles through postings.  A set travels once for this, and components of the links are taken.
+3.  What is left are estimated pairs in different components.  Buckets that hold several components are read
+    again: classes with such a pair, each pair in its first common bucket alone, meet there with their sets.
+    So a set travels for its own doubtful neighbours only, and a cluster that links have joined costs nothing.
+    At 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.
 4.  Components of the confirmed links give each class, and so each document, its group.
 
-Buckets and clusters of any size are split into blocks; a task holds two blocks, and all pairs of blocks
-are visited, so nothing is capped.  Pairs are never rows.
+Buckets and hubs of any size are split into blocks; a task holds two blocks, and all pairs of blocks are
+visited, so nothing is capped.  Pairs are never rows, but for a spanning forest of each two blocks.
 
 Defined cases: a null text counts as empty; a text without words has an empty set, is linked with nothing
 and is its own group; fewer words than the shingle width form one shingle.  A group is named by its least
@@ -34,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, set_aside, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, release, set_aside, shingle_set, text_rows, word_hashes, written
 from tablewarden.llm.components import components
 
 BANDS, ROWS, BITS, SEED = 32, 4, 4, 20240607
-#: Classes in a block of a bucket, and documents with their sets in a block of a cluster.
-BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
+#: Classes in a block of a bucket, and classes that meet with their sets.
+BUCKET_BLOCK, SET_BLOCK = 512, 128
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SIGNATURE_SQL = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
@@ -71,16 +73,15 @@ def _signatures(width: int):
     return run
 
 
-def _blocks(members: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame:
-    """Rows of ``members`` with the pair of blocks (lo, hi) that they are to meet in; a group of one block has (0, 0).
+def _blocks(members: DataFrame, size: DataFrame, block: int) -> DataFrame:
+    """Rows of ``members`` (bucket, rep) with the blocks (lo, hi) that they are to meet in, and their own.
 
-    ``size``: key and its number of members ``c``.
+    ``size``: bucket and its number of members ``c``.  Within a block pairs meet where lo = hi, and nowhere else.
     """
     n = F.ceil(F.col("c") / block).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), "rep"), n).cast("int")
-    out = members.join(size, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    # within a block pairs meet once, where it meets the next block (or itself, if it is alone)
-    return out.where((n == 1) | (F.col("own") != F.col("other"))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other", "c")
+    out = members.join(size, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "c")
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -98,21 +99,29 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one pair of blocks: order of rows by rep, reps, signatures, and the side that each row meets (its own block if there is but one)."""
+    reps, own = (np.array(table[c].to_pylist(), np.int64) for c in ("rep", "own"))
+    sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(reps), -1)
+    order = np.argsort(reps)
+    reps, sigs, own = reps[order], sigs[order], own[order]
+    return order, reps, sigs, np.stack([own, np.where(table["lo"][0].as_py() == table["hi"][0].as_py(), own, table["lo"][0].as_py() + table["hi"][0].as_py() - own)])
+
+
 def _bucket_links(cut: float):
     """A spanning forest of what the estimate connects within one pair of blocks of one bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps = np.array(table["rep"].to_pylist(), np.int64)
-        sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(reps), -1)
-        order = np.argsort(reps)
-        reps, sigs = reps[order], sigs[order]
+        _, reps, sigs, (own, meets) = _met(table)
         left = np.arange(len(reps))
         pairs: list[tuple[int, int]] = []
         while len(left):
             front, left = [left[0]], left[1:]
             while front and len(left):
                 x = front.pop()
-                near = estimate(sigs[x], sigs[left]) >= cut
+                near = np.zeros(len(left), bool)
+                opposite = own[left] == meets[x]
+                near[opposite] = estimate(sigs[x], sigs[left[opposite]]) >= cut
                 found = left[near]
                 pairs += [(int(reps[x]), int(reps[y])) for y in found]
                 front += found.tolist()
@@ -122,6 +131,27 @@ def _bucket_links(cut: float):
     return run
 
 
+def _suspects(cut: float):
+    """Classes with a pair that the estimate connects, no link joins yet, and no earlier band has in common."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order, reps, sigs, (own, meets) = _met(table)
+        label = np.array(table["label"].to_pylist(), np.int64)[order]
+        bands = np.array(table["bands"].to_pylist(), np.int64)[order]
+        band = int((bands[0] == table["bucket"][0].as_py()).argmax())
+        doubtful = np.zeros(len(reps), bool)
+        for x in range(len(reps) - 1):
+            y = x + 1 + np.flatnonzero((own[x + 1 :] == meets[x]) & (label[x + 1 :] != label[x]))
+            y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+            y = y[estimate(sigs[x], sigs[y]) >= cut]
+            doubtful[y] = True
+            doubtful[x] |= len(y) > 0
+        at = order[doubtful]
+        return table.take(pa.array(at)).select(["bucket", "lo", "hi", "rep", "label"])
+
+    return run
+
+
 _SET_SQL = "rep long, shingles binary"
 
 
@@ -135,11 +165,12 @@ def _sets(width: int):
     return run
 
 
-def confirmed(reps: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def confirmed(reps: np.ndarray, sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links on full sets (den * shared >= num * union) that span the components among ``reps``.
 
-    One count through postings gives the shared shingles of a document with all others.  What no link
-    joins yet is counted first; then all others are, but for those in the component with most of them left.
+    ``known``: components that links join already.  One count through postings gives the shared shingles of a
+    document with all others.  What no link joins yet is counted first; then all others are, but for those in
+    the component with most of them left.
     """
     n = len(reps)
     sizes = np.array([len(s) for s in sets])
@@ -148,7 +179,7 @@ def confirmed(reps: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
     by_id = np.argsort(ids, kind="stable")
     postings, starts = owner[by_id], np.searchsorted(ids[by_id], np.arange(ids.max() + 2))
     ends = np.cumsum(sizes)
-    label = np.arange(n)
+    label = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     pairs: list[tuple[int, int]] = []
 
     def count(x: int) -> None:
@@ -176,15 +207,61 @@ def confirmed(reps: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
     return pairs
 
 
-def _cluster_links(num: int, den: int):
+def _set_links(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        rows: dict[int, bytes] = dict(zip(table["rep"].to_pylist(), table["shingles"].to_pylist(), strict=True))
+        rows = {r: (s, k) for r, s, k in zip(*(table[c].to_pylist() for c in ("rep", "shingles", "label")), strict=True)}
         reps = np.array(sorted(rows), np.int64)
-        return _edges(confirmed(reps, [np.frombuffer(rows[r], np.uint64) for r in reps.tolist()], num, den) if len(reps) > 1 else [])
+        sets = [np.frombuffer(rows[r][0], np.uint64) for r in reps.tolist()]
+        return _edges(confirmed(reps, sets, num, den, np.array([rows[r][1] for r in reps.tolist()])) if len(reps) > 1 else [])
 
     return run
 
 
+def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """rep and component of every class that a confirmed link joins to another."""
+    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    many = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
+    sigma = (num / den * (1 - num / den) / (BANDS * ROWS)) ** 0.5 / (1 - 2.0**-BITS)
+    cut = num / den - 6.5 * sigma
+    members = written(_blocks(buckets, many, BUCKET_BLOCK), "members")
+    near = members.join(classes.select("rep", "signature"), "rep").groupBy("bucket", "lo", "hi").applyInArrow(_bucket_links(cut), "u long, v long")
+    near = written(near.select(F.greatest("u", "v").alias("rep"), F.least("u", "v").alias("hub")).distinct(), "near")
+    release(many, members)
+
+    nodes = written(near.select("rep").union(near.select("hub")).distinct(), "nodes")
+    wanted = nodes.join(classes, "rep").select("rep", F.col("least").alias("_id"), F.col("key").alias("_key"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).groupBy("rep").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInArrow(lean(_sets(width)), _SET_SQL), "sets")
+
+    # each class with its hub, in parts of a bounded number
+    hubs = written(near.groupBy("rep").agg(F.min("hub").alias("hub")), "hubs")
+    size = written(hubs.groupBy("hub").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("n")), "sizes")
+    part = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("n")).cast("int")
+    own = hubs.join(size, "hub").select("hub", part.alias("part"), "rep")
+    meet = own.unionByName(size.select("hub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("hub").alias("rep"))).withColumn("label", F.col("rep"))
+    links = written(meet.join(sets, "rep").groupBy("hub", "part").applyInArrow(_set_links(num, den), "u long, v long").distinct(), "links")
+    joined = written(components(links), "joined")
+    release(near, hubs, size, links)
+
+    # estimated pairs that no link joins yet
+    labels = written(nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "labels")
+    open_ = buckets.join(labels, "rep")
+    mixed = written(open_.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket", "c"), "mixed")
+    again = _blocks(open_, mixed, SET_BLOCK).join(classes.select("rep", "signature", "bands"), "rep")
+    doubtful = again.groupBy("bucket", "lo", "hi").applyInArrow(_suspects(cut), "bucket long, lo int, hi int, rep long, label long")
+    doubtful = written(doubtful, "doubtful")
+    more = doubtful.join(sets, "rep").groupBy("bucket", "lo", "hi").applyInArrow(_set_links(num, den), "u long, v long")
+    named = labels.select(F.col("rep").alias("u"), F.col("label").alias("a")), labels.select(F.col("rep").alias("v"), F.col("label").alias("b"))
+    more = more.join(named[0], "u").join(named[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    last = written(components(more).select(F.col("node").alias("label"), F.col("component").alias("last")), "last")
+    out = labels.join(last, "label", "left").select("rep", F.coalesce("last", "label").alias("component"))
+    # a class alone in its component has no link
+    count = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    out = written(out.join(count, "component").select("rep", "component"), "groups")
+    release(nodes, sets, joined, labels, mixed, doubtful, last)
+    return out
+
+
 def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """What ``groups`` gives, and the group's number (group_id), null without words."""
     docs = keyed(docs)
@@ -194,21 +271,7 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(pick.alias("pick"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = written(classes.select("h1", "h2", F.col("pick.doc_id").alias("least"), F.col("pick.text_key").alias("key"), "signature", "bands", F.monotonically_increasing_id().alias("rep")), "classes")
 
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
-    many = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
-    sigma = (num / den * (1 - num / den) / (BANDS * ROWS)) ** 0.5 / (1 - 2.0**-BITS)
-    members = written(_blocks(buckets, "bucket", many, BUCKET_BLOCK), "members").join(classes.select("rep", "signature"), "rep")
-    near = members.groupBy("bucket", "lo", "hi").applyInArrow(_bucket_links(num / den - 6.5 * sigma), "u long, v long").distinct()
-    clusters = written(components(near), "clusters").withColumnRenamed("node", "rep")
-
-    wanted = clusters.join(classes, "rep").select("rep", F.col("least").alias("_id"), F.col("key").alias("_key"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).groupBy("rep").agg(F.first("text").alias("text"))
-    sets = written(texts.mapInArrow(lean(_sets(width)), _SET_SQL), "sets")
-    size = written(clusters.groupBy("component").agg(F.count("*").alias("c")), "sizes")
-    meet = written(_blocks(clusters.select("rep", "component"), "component", size, CLUSTER_BLOCK), "meetings").join(sets, "rep")
-    links = meet.groupBy("component", "lo", "hi").applyInArrow(_cluster_links(num, den), "u long, v long").distinct()
-    found = written(components(links), "groups").withColumnRenamed("node", "rep")
-
+    found = _links(classes, docs, width, num, den)
     names = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
     found = written(found.join(names, "component").select("rep", "component", "name"), "names")
     named = classes.select("rep", "h1", "h2", "least").join(found, "rep", "left")

@@ -54,7 +54,7 @@ def family(n, length, edits, seed):
 
 def test_family_over_many_blocks_with_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET_BLOCK", 7)
-    monkeypatch.setattr(neardup, "CLUSTER_BLOCK", 5)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 5)
     texts = family(60, 100, 4, 1) + family(20, 60, 2, 2) + ["a b", "A B", "a  b", "", None, "solo words here", "x" * 100_000]
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)] + [(4, texts[1]), (None, "a b"), (None, "quite alone")]
     docs = spark.createDataFrame([(*r, "q", 0) for r in rows], "doc_id long, text string, _copies string, _id int").repartition(3)
@@ -105,6 +105,38 @@ def test_chains_of_versions_in_any_order_stay_whole():
         assert len(got) == len(order) - len(set(spanned(sets, near)))
 
 
+def intervals(starts, length):
+    return [(i, " ".join(f"k{x}" for x in range(s, s + length))) for i, s in enumerate(starts)]
+
+
+def test_random_intervals_in_any_order(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for block in (4, 512):
+        monkeypatch.setattr(neardup, "BUCKET_BLOCK", block)
+        monkeypatch.setattr(neardup, "SET_BLOCK", block)
+        rows = intervals([0, 1, 10, 30, 31, 32, 20], 103)
+        for family in range(1, 25):
+            at = np.concatenate([rng.permutation(rng.integers(0, 160, rng.integers(3, 20)))])
+            rows += [(1000 * family + i, " ".join(f"f{family}" + w for w in t.split())) for i, t in intervals(at, 103)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted(map(tuple, digest(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
+        want = brute(rows, 4, 80, 100)
+        assert got == want and {w[2] for w in want if w[0] < 7} == {0}
+
+
+def test_known_components_are_not_linked_again():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(2, 20))
+        sets = [np.arange(20, dtype=np.uint64) + np.uint64(s) for s in rng.integers(0, 3 * n, n)]
+        near = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 100 >= 80 * len(np.union1d(sets[i], sets[j]))]
+        some = [e for e in near if rng.random() < 0.5]
+        known = np.array(spanned(sets, some))
+        got = confirmed(np.arange(n), sets, 80, 100, known)
+        assert spanned(sets, some + got) == spanned(sets, near)
+        assert len(set(known)) - len(got) == len(set(spanned(sets, near)))
+
+
 def test_null_and_repeated_ids_lose_no_text_and_no_link(spark):
     one, two, three = (family(4, 100, 1, seed) for seed in (11, 12, 13))
     loose = [f"text number {i} " + " ".join(f"q{i}x{j}" for j in range(30)) for i in range(12)]
