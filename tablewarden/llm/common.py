@@ -113,6 +113,24 @@ def bucket_count(df: DataFrame) -> int:
     return int(max(parts, table_bytes(df) // BUCKET_BYTES, 16))
 
 
+#: Rows that one task adds up where every task of a stage sends a row.
+FAN = 64
+
+
+def folded(rows: DataFrame, docs: DataFrame, keys: list[str], add: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Rows (part, *keys, ...) that each task of a pass over ``docs`` sends, added up in a tree to few a key.
+
+    ``part`` is the task's number; ``add`` makes one row of the rows of equal part and keys.  However many
+    tasks there are, a group has about ``FAN`` rows, and as many at most are left of a key if file sizes are as estimated.
+    """
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, table_bytes(docs) // BUCKET_BYTES)
+    while parts > FAN:
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part", *keys).applyInArrow(add, schema)
+        parts = -(-parts // FAN)
+    return rows
+
+
 def ascii_lower(data: bytes) -> bytes:
     """Lower-case A-Z only."""
     return data.translate(_ASCII_LOWER)

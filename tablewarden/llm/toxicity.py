@@ -1,27 +1,34 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
 A linear classifier on the presence of hashed word features (the lower-cased word and its prefixes of 3 to 6
-letters) is trained in numpy from confirmed toxic documents (P) and unlabelled documents (U, drawn from all
-documents whatever their label), by minimising
+letters) is trained from confirmed toxic documents (P) and unlabelled ones (U: all training documents, whatever
+their label), by minimising
 
     prior * E_P[loss(f, 1)] + max(0, E_U[loss(f, 0)] - prior * E_P[loss(f, 0)])
 
-with the sigmoid loss, loss(f, 1) = sigmoid(-f) and loss(f, 0) = sigmoid(f); where the second part turns negative its gradient is reversed.  The class prior is
-the share of toxic rows among all labelled training rows.
+with the sigmoid loss, loss(f, 1) = sigmoid(-f) and loss(f, 0) = sigmoid(f); where the second part turns negative
+its gradient is reversed.  The class prior is the share of toxic rows among all labelled training rows.
 
-The classifier alone is fitted on a bounded sample, ``SAMPLE_P`` and ``SAMPLE_U`` documents with the least
-hashes of doc_id.  Feature counts of the sample are summed in Spark by hashed place, and at most ``FEATURES``
-places go on; of the features there, those that clearly speak for toxicity take part, so the driver holds a bounded design matrix.
-Near copies within the sample (equal least hash over word shingles) count once, or a copied text's own words
-would look toxic.  Every document is scored in full.
+1.  Spark counts in how many documents of P and U each of ``SPACE`` hashed features occurs.  Features whose
+    shares differ by ``SCREEN`` standard errors take part, however many they are (``SPACE`` at most).
+2.  Every training document is read as the set of its features that take part; equal sets become one row with
+    their number, so clean documents, which have few such features, are few rows.
+3.  From zero weights, accelerated proximal gradient steps over all these rows: each is one pass in numpy batches,
+    whose sums Spark adds in whole numbers, so that their order doesn't matter.  Features are centred and
+    scaled by their spread; a small L1 penalty drops those that others explain.
 
-Defined cases: a null text counts as empty and scores the bias; without any toxic training label the score is
-0 everywhere; labels with null or repeated doc_id: null ids are ignored, of repeats the largest label
-counts; a null doc_id is training text without label.  Other columns never reach the classifier.
+P is a documented sample: ``SAMPLE_P`` toxic documents at most, those with the least hashes of doc_id.  Near copies
+in P (equal least hash over word shingles) count once, or a copied text's own words would look toxic.
+
+Defined cases: a null text counts as empty and scores what the bias says; without any toxic training label the
+score is 0 everywhere, and the prior if no feature tells P from U; labels with null or repeated doc_id: null ids are
+ignored, of repeats the largest label counts; a null doc_id is training text without label.  Other columns never
+reach the classifier.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,28 +36,31 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import bound_batches, keyed, lean, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import bound_batches, folded, keyed, lean, least_uint, pack, release, shingle_set, text_rows, unpack, word_hashes, written
 
-#: Documents that the classifier is fitted on, features that it may use, hashed feature space.
-SAMPLE_P, SAMPLE_U, FEATURES, SPACE = 4_000, 12_000, 2_048, 1 << 20
+#: Toxic documents that the classifier is fitted on, and the hashed feature space.
+SAMPLE_P, SPACE = 4_000, 1 << 20
+#: Standard errors by which a feature's shares must differ, counts added to its spread, penalty, and steps.
+SCREEN, SMOOTH, PENALTY, STEPS, STRETCH = 2.0, 3.0, 0.05, 40, 0.15
 _BLOCK = 1 << 13
 _WORD = regex.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 PREFIXES = (3, 4, 5, 6)
 
 
-def word_features(word: str) -> list[int]:
+def word_features(word: str) -> tuple[int, ...]:
     """Hashed features of one lower-cased word."""
     forms = [word, *(f"{word[:n]}\x00{n}" for n in PREFIXES if len(word) > n)]
-    return [xxhash.xxh3_64_intdigest(f) >> 1 for f in forms]
+    return tuple(xxhash.xxh3_64_intdigest(f) & (SPACE - 1) for f in forms)
 
 
 class _Reader:
-    """Features of a text that a chooser lets through; words are memoised up to a fixed number."""
+    """Features of a text, as ``choose`` gives them for a word's; words are memoised up to a fixed number."""
 
-    def __init__(self, choose):
+    def __init__(self, choose=None):
         self.choose, self.memo = choose, {}
 
     def __call__(self, text: str) -> set:
@@ -59,9 +69,13 @@ class _Reader:
         for w in set(_WORD.findall(text.lower())):
             got = memo.get(w)
             if got is None:
+                got = word_features(w)
+                if self.choose is not None:
+                    got = self.choose(got)
                 if len(memo) > 100_000:
                     memo.clear()
-                got = memo[w] = tuple(self.choose(word_features(w[:256])))
+                if len(w) <= 64:
+                    memo[w] = got
             if got:
                 out.update(got)
         return out
@@ -69,7 +83,7 @@ class _Reader:
 
 @dataclass
 class Model:
-    """Chosen features, their weights and the bias; ``constant`` stands in where nothing could be learned."""
+    """Features that take part, their weights and the bias; ``constant`` stands in where nothing could be learned."""
 
     features: np.ndarray
     weights: np.ndarray
@@ -80,50 +94,10 @@ class Model:
         if self.constant is not None:
             return lambda text: self.constant
         weight = dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
-        read = _Reader(lambda ids: [i for i in ids if i in weight])
+        read = _Reader(lambda ids: tuple(i for i in ids if i in weight))
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.bias + sum(weight[i] for i in sorted(read(text))), -30, 30))))
 
 
-def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 60, rate: float = 0.01, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative PU risk, by Adam over the whole sample.
-
-    As the sigmoid loss is not convex, it starts from the log odds that Bayes' rule gives the absence of all
-    features, and each feature alone that makes a document more likely toxic than not.
-    """
-    lengths = np.array([len(r) for r in rows])
-    col = np.array([c for r in rows for c in r], np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
-
-    def log_odds(in_p: np.ndarray, in_u: np.ndarray) -> np.ndarray:
-        q = np.clip(prior * (in_p / positive.sum()) / np.maximum(in_u / (~positive).sum(), 1e-9), 1e-3, 0.99)
-        return np.log(q / (1 - q))
-
-    of_p = positive[row]
-    empty = lengths == 0
-    b = float(log_odds((empty & positive).sum(), (empty & ~positive).sum()))
-    alone = log_odds(np.bincount(col[of_p], minlength=n_features), np.bincount(col[~of_p], minlength=n_features))
-    w = np.where(alone > 0, alone - b, 0.0)
-    first, second = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    n_p, n_u = positive.sum(), (~positive).sum()
-    for step in range(1, steps + 1):
-        f = b + np.bincount(row, weights=w[col], minlength=len(rows))
-        p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        slope = p * (1 - p)
-        rest = p[~positive].mean() - prior * p[positive].mean()
-        g = np.empty(len(rows))
-        if rest >= 0:
-            g[positive], g[~positive] = -2 * prior * slope[positive] / n_p, slope[~positive] / n_u
-        else:
-            g[positive], g[~positive] = prior * slope[positive] / n_p, -slope[~positive] / n_u
-        gradient = np.append(np.bincount(col, weights=g[row], minlength=n_features) + decay * w, g.sum())
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-        w -= move[:-1]
-        b -= move[-1]
-    return w, b
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, int] = {}
     for batch in batches:
@@ -131,116 +105,167 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("near", pa.array(np.array(least, np.uint64).view(np.int64)))
 
 
-_COUNT = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+_COUNT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+_COUNT_SQL = "part int, block int, counts binary"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, SPACE), np.int32)
-    read = _Reader(lambda ids: {i & (SPACE - 1) for i in ids})
+    total = np.zeros((2, SPACE), np.int64)
+    read = _Reader()
     for batch in batches:
         for (_, t), positive in zip(text_rows(iter([batch])), batch.column("positive").to_pylist(), strict=True):
-            total[int(positive), np.fromiter(read(t), np.int64)] += 1
+            found = read(t)
+            total[int(positive), np.fromiter(found, np.int64, len(found))] += 1
     blocks = [i for i in range(0, SPACE, _BLOCK) if total[:, i : i + _BLOCK].any()]
     if blocks:
-        yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK for i in blocks], pa.int32()), pa.array([np.ascontiguousarray(total[:, i : i + _BLOCK]).tobytes() for i in blocks], pa.binary())], schema=_COUNT)
+        data = [pack([least_uint(row[i : i + _BLOCK]) for row in total]) for i in blocks]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array([i // _BLOCK for i in blocks], pa.int32()), pa.array(data, pa.binary())], schema=_COUNT)
 
 
-def speaking(found: list[tuple[bool, list[list[int]]]], prior: float) -> list[int]:
-    """Features that make a document more likely toxic than not, each by words that no earlier one explains.
+def _sum(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    rows = [unpack(x.as_py()) for x in table["counts"]]
+    u, p = (sum(r[i].astype(np.int64) for r in rows) for i in (0, 1))
+    return u, p
 
-    By Bayes' rule P(toxic | feature) is prior * p / u, of the shares of P and U that have the feature; its
-    lower bound at two standard errors must pass one half, and the shares must differ by four.  The feature
-    with the largest bound is taken first and the words that have it are set aside, so that a prefix that
-    many words share doesn't ride on one toxic word.  ``found``: side and, word by word, features.
-    """
-    positive = np.array([y for y, _ in found])
-    n_p, n_u = positive.sum(), (~positive).sum()
-    least = max(5, 0.004 * n_p)  # a word of a few copied documents is no sign
-    flat = [(d, w, f) for d, (_, words) in enumerate(found) for w, features in enumerate(words) for f in features]
-    if not flat:
-        return []
-    doc, word, feature = np.array(flat, np.int64).T
-    names, feature = np.unique(feature, return_inverse=True)
-    word = doc * (word.max() + 1) + word
-    out: list[int] = []
-    while len(doc):
-        pairs = np.unique(doc * len(names) + feature)
-        of_p = positive[pairs // len(names)]
-        p = np.bincount(pairs[of_p] % len(names), minlength=len(names))
-        u = np.bincount(pairs[~of_p] % len(names), minlength=len(names))
-        mean = (p + u) / (n_p + n_u)
-        z = (p / n_p - u / n_u) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_p + 1 / n_u))
-        spread = np.sqrt(1 / np.maximum(p, 1) + 1 / np.maximum(u, 1))
-        lower = np.log(prior * np.maximum(p, 0.5) / n_p) - np.log(np.maximum(u, 0.5) / n_u) - 2 * spread
-        bound = np.where((z > 4) & (p >= least) & (lower > np.log(0.5)), lower, -np.inf)
-        best = int(bound.argmax())
-        if bound[best] == -np.inf:
-            break
-        out.append(int(names[best]))
-        rest = ~np.isin(word, word[feature == best])
-        doc, word, feature = doc[rest], word[rest], feature[rest]
-    return out
 
+def _add(table: pa.Table) -> pa.Table:
+    return pa.table([table["part"][:1], table["block"][:1], pa.array([pack(list(_sum(table)))], pa.binary())], schema=_COUNT)
 
-def _promising(n_p: int, n_u: int):
-    """Of a block of hashed places those that P has clearly more often than U, over twice as often.
 
-    Several features share a place, so this is looser than what a feature must pass.
-    """
+def _telling(n_p: int, n_u: int):
+    """Of a block of features those whose shares of P and U differ, with the share of U and the spread."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        p, u = sum(np.frombuffer(x.as_py(), np.int32).reshape(2, -1).astype(np.int64) for x in table["counts"])[::-1]
-        mean = (p + u) / (n_p + n_u)
-        z = (p / n_p - u / n_u) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_p + 1 / n_u))
-        at = np.flatnonzero((z > 3) & (p >= 5) & (p * n_u > 2 * u * n_p))
-        return pa.table([pa.array(block * _BLOCK + at, pa.int64()), pa.array(z[at], pa.float64())], names=["place", "z"])
+        u, p = _sum(table)
+        share = u / n_u
+        spread = np.sqrt(share * (1 - share) + SMOOTH / n_p)
+        z = (p / n_p - share) / spread * np.sqrt(n_p)
+        at = np.flatnonzero(np.abs(z) > SCREEN)
+        return pa.table([pa.array(table["block"][0].as_py() * _BLOCK + at, pa.int64()), pa.array(share[at]), pa.array(spread[at]), pa.array(z[at])], names=["feature", "share", "spread", "z"])
+
+    return run
+
+
+_SETS = pa.schema([("positive", pa.bool_()), ("found", pa.binary()), ("n", pa.int64())])
+
+
+def _sets(features: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: i for i, f in enumerate(features.tolist())}
+        read = _Reader(lambda ids: tuple(place[i] for i in ids if i in place))
+        for batch in batches:
+            got: Counter = Counter()
+            for (_, t), positive in zip(text_rows(iter([batch])), batch.column("positive").to_pylist(), strict=True):
+                got[positive, np.sort(np.fromiter(read(t), np.int32)).tobytes()] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.bool_()), pa.array([k[1] for k in got], pa.binary()), pa.array(list(got.values()), pa.int64())], schema=_SETS)
 
     return run
 
 
-def _present(places: list[int]):
+#: One in the whole numbers that sums are made of; a sum over P or U stays under a few hundred.
+_ONE = float(1 << 50)
+
+
+def _slopes(shared, n_p: int, n_u: int, linear: bool):
+    """Sums over a task's rows of P and U, by feature: of sigmoid'(f), or of f itself if ``linear``.  Feature -1
+    has them without regard to features, and feature -2 the sums of sigmoid(f)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(places)
-        read = _Reader(lambda ids: [tuple(got)] if (got := [i for i in ids if i & (SPACE - 1) in known]) else [])
+        weights, bias = shared.value
+        total = np.zeros((2, len(weights) + 2))
         for batch in batches:
-            found = [sorted(read(t)) for _, t in text_rows(iter([batch]))]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["positive", "present"])
+            found = [np.frombuffer(x, np.int32) for x in batch.column("found").to_pylist()]
+            lengths = np.array([len(x) for x in found])
+            row, col = np.repeat(np.arange(len(found)), lengths), np.concatenate([*found, np.empty(0, np.int32)])
+            f = bias + np.bincount(row, weights=weights[col], minlength=len(found))
+            s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+            slope = f if linear else s * (1 - s)
+            positive, n = np.array(batch.column("positive").to_pylist(), bool), np.array(batch.column("n").to_pylist(), float)
+            for side, mine, size in ((0, positive, n_p), (1, ~positive, n_u)):
+                part = np.where(mine, n / size, 0.0)
+                total[side, 2:] += np.bincount(col, weights=(part * slope)[row], minlength=len(weights))
+                total[side, :2] += (part * s).sum(), (part * slope).sum()
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at - 2, pa.int64()), *[pa.array(np.rint(total[i, at] * _ONE).astype(np.int64)) for i in (0, 1)]], names=["feature", "p", "u"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
+def _total(sets: DataFrame, weights: np.ndarray, bias: float, n_p: int, n_u: int, linear: bool = False) -> np.ndarray:
+    """What ``_slopes`` sums, over all rows: two rows (P, U), columns for -2, -1 and each feature."""
+    shared = sets.sparkSession.sparkContext.broadcast((weights, bias))
+    out = np.zeros((2, len(weights) + 2))
+    for r in sets.mapInArrow(_slopes(shared, n_p, n_u, linear), "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).collect():
+        out[:, r.feature + 2] = r.p / _ONE, r.u / _ONE
+    shared.unpersist()
+    return out
+
+
+def fit(total, share: np.ndarray, spread: np.ndarray, z: np.ndarray, n_p: int, prior: float, steps: int = STEPS, nonnegative: bool = True) -> tuple[np.ndarray, float]:
+    """Weights and bias of the non-negative PU risk, by accelerated proximal gradient steps from zero weights.
+
+    ``total(weights, bias, linear)``: sums over P and U (see ``_total``).  The step follows from the
+    largest curvature, found by powers of the features' covariance.  ``nonnegative=False`` leaves the
+    correction out (for comparison).
+    """
+    v = z / np.linalg.norm(z)
+    curve = 0.0
+    for _ in range(4):
+        got = total(v / spread, -float(v / spread @ share), True)[1]
+        after = (got[2:] - share * got[1]) / spread
+        curve = float(np.linalg.norm(after))
+        v = after / curve
+    step, penalty = 1 / (0.1 * curve * STRETCH), PENALTY * prior * 0.5 / np.sqrt(n_p)
+    w, b = np.zeros(len(z)), float(np.log(prior / (1 - prior)))
+    at, at_b, turn = w, b, 1.0
+    for _ in range(steps):
+        scaled = at / spread
+        p, u = total(scaled, at_b - float(scaled @ share), False)
+        if u[0] - prior * p[0] >= 0 or not nonnegative:
+            slope = u[1:] - 2 * prior * p[1:]
+        else:
+            slope = prior * p[1:] - u[1:]
+        new = at - step * (slope[1:] - share * slope[0]) / spread
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        new_b = at_b - step * min(curve, 4.0) * slope[0]
+        then = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
+        at, at_b = new + (turn - 1) / then * (new - w), new_b + (turn - 1) / then * (new_b - b)
+        w, b, turn = new, new_b, then
+    weights = w / spread
+    return weights, b - float(weights @ share)
+
+
+def train(docs: DataFrame, labels: DataFrame, training: Column, steps: int = STEPS, nonnegative: bool = True) -> Model:
     """``training``: a condition on doc_id; only labels of rows that meet it are ever read."""
+    none = np.empty(0, np.int64), np.empty(0), 0.0
     order = F.xxhash64("doc_id", F.lit(11))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & training)
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, known = labels.agg(F.sum("toxic"), F.count("*")).first()
     if not toxic:
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0, constant=0.0)
+        return Model(*none, constant=0.0)
     prior = min(max(toxic / known, 1e-4), 0.9)
-    docs = keyed(docs)
-    # both id lists are bounded by the sample sizes, so they may be broadcast
-    p = labels.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_P)
-    u = docs.where(F.col("doc_id").isNotNull() & training).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_U)
-    ids = p.select("doc_id", F.lit(True).alias("positive")).unionByName(u.select("doc_id", F.lit(False).alias("positive")))
-    sample = docs.join(F.broadcast(written(ids, "sample-ids")), "doc_id").select("doc_id", "text", "positive")
-    sample = sample.mapInArrow(lean(_near), "doc_id long, text string, positive boolean, near long").dropDuplicates(["positive", "near"])
-    sample = written(sample, "sample")
-    sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(True) or not sizes.get(False):
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0, constant=0.0 if not sizes.get(True) else prior)
-    counts = sample.mapInArrow(lean(_counts), "block int, counts binary")
-    places = counts.groupBy("block").applyInArrow(_promising(sizes[True], sizes[False]), "place long, z double")
-    places = [r.place for r in places.orderBy(F.desc("z"), "place").limit(FEATURES).collect()]
-    found = [(r.positive, r.present) for r in sample.mapInArrow(lean(_present(places)), "positive boolean, present array<array<long>>").collect()]
-    features = speaking(found, prior)
-    if not features:
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0, constant=prior)
-    place = {f: i for i, f in enumerate(features)}
-    rows = sorted((y, sorted({place[f] for word in words for f in word if f in place})) for y, words in found)
-    w, b = fit([r for _, r in rows], np.array([y for y, _ in rows]), len(features), prior)
-    return Model(np.array(features), w, b)
+    docs = keyed(docs).where(training)
+    ids = written(labels.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_P), "sample-ids")
+    # the ids are SAMPLE_P at most, so they may be broadcast
+    p = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(lean(_near), "doc_id long, text string, near long").dropDuplicates(["near"])
+    p = written(p.select("doc_id", "text"), "toxic")
+    both = docs.withColumn("positive", F.lit(False)).unionByName(p.withColumn("positive", F.lit(True)))
+    n_p, n_u = p.count(), docs.count()
+    if not n_p:
+        return Model(*none, constant=0.0)
+    counts = folded(both.mapInArrow(lean(_counts), _COUNT_SQL), docs, ["block"], _add, _COUNT_SQL)
+    chosen = counts.groupBy("block").applyInArrow(_telling(n_p, n_u), "feature long, share double, spread double, z double")
+    chosen = np.array(sorted(tuple(r) for r in chosen.collect()), float).reshape(-1, 4)  # SPACE rows at most
+    if not len(chosen):
+        return Model(*none, constant=prior)
+    features, (share, spread, z) = chosen[:, 0].astype(np.int64), chosen[:, 1:].T
+    sets = both.mapInArrow(lean(_sets(features)), "positive boolean, found binary, n long").groupBy("positive", "found").agg(F.sum("n").alias("n"))
+    sets = written(sets.sortWithinPartitions("positive", "found"), "feature-sets")
+    weights, bias = fit(lambda w, b, linear: _total(sets, w, b, n_p, n_u, linear), share, spread, z, n_p, prior, steps, nonnegative)
+    release(ids, p, sets)
+    return Model(features[weights != 0], weights[weights != 0], bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
