@@ -7,12 +7,14 @@ their sets reaches the threshold, and a group is what links connect.
     and each band of full minima is hashed as a bucket.  Documents of equal sets form one class, which goes
     on under a number of its own (rep) with the text of one of its rows, so exact copies cost nothing further.
 2.  In each bucket of two or more classes, similarity is estimated from bit counts of the packed
-    signatures, corrected for chance collisions; the cut lies more than six standard errors below the
+    signatures, corrected for chance collisions; the cut lies 5.5 standard errors below the
     threshold.  A class goes with its least neighbour (its hub), where full sets confirm links by counting
     shared shingles through postings.  A set travels once for this, and components of the links are taken.
 3.  What is left are estimated pairs in different components.  Buckets that hold several components are read
-    again: classes with such a pair, each pair in its first common bucket alone, meet there with their sets.
-    So a set travels for its own doubtful neighbours only, and a cluster that links have joined costs nothing.
+    again, and of each such pair, in its first common bucket alone and if the sizes of both sets allow a link,
+    one class visits the other's block, where full sets decide.  Blocks are parts of a large component, or of
+    all small ones that estimates connect; the smaller side visits.  So a set travels once at home and once
+    for each foreign block with a doubtful neighbour, and what links have joined costs nothing further.
     At 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.
 4.  Components of the confirmed links give each class, and so each document, its group.
 
@@ -108,6 +110,12 @@ def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return order, reps, sigs, np.stack([own, np.where(table["lo"][0].as_py() == table["hi"][0].as_py(), own, table["lo"][0].as_py() + table["hi"][0].as_py() - own)])
 
 
+def least_estimate(num: int, den: int) -> float:
+    """The estimate from which a pair is looked at: 5.5 standard errors below the threshold."""
+    sigma = (num / den * (1 - num / den) / (BANDS * ROWS)) ** 0.5 / (1 - 2.0**-BITS)
+    return num / den - 5.5 * sigma
+
+
 def _bucket_links(cut: float):
     """A spanning forest of what the estimate connects within one pair of blocks of one bucket."""
 
@@ -131,23 +139,30 @@ def _bucket_links(cut: float):
     return run
 
 
-def _suspects(cut: float):
-    """Classes with a pair that the estimate connects, no link joins yet, and no earlier band has in common."""
+_VISIT = pa.schema([("pool", pa.int64()), ("block", pa.int32()), ("rep", pa.int64()), ("label", pa.int64())])
+
+
+def _visits(num: int, den: int):
+    """Of each pair that may be linked by estimate and sizes, that no link joins yet, and that has no earlier band
+    in common, the class of the smaller pool (or block), with the pool and block that it is to visit."""
 
     def run(table: pa.Table) -> pa.Table:
         order, reps, sigs, (own, meets) = _met(table)
-        label = np.array(table["label"].to_pylist(), np.int64)[order]
+        label, size, pool, block, n = (np.array(table[c].to_pylist(), np.int64)[order] for c in ("label", "size", "pool", "block", "n_shingles"))
         bands = np.array(table["bands"].to_pylist(), np.int64)[order]
         band = int((bands[0] == table["bucket"][0].as_py()).argmax())
-        doubtful = np.zeros(len(reps), bool)
-        for x in range(len(reps) - 1):
-            y = x + 1 + np.flatnonzero((own[x + 1 :] == meets[x]) & (label[x + 1 :] != label[x]))
+        out: set[tuple[int, int, int, int]] = set()
+        for x in range(len(reps)):
+            mine, theirs = (size[x], pool[x], block[x], reps[x]), (size, pool, block, reps)
+            after, same = np.zeros(len(reps), bool), np.ones(len(reps), bool)
+            for a, b in zip(mine, theirs, strict=True):
+                after, same = after | (same & (b > a)), same & (b == a)
+            y = np.flatnonzero(after & (own == meets[x]) & (label != label[x]) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
             y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
-            y = y[estimate(sigs[x], sigs[y]) >= cut]
-            doubtful[y] = True
-            doubtful[x] |= len(y) > 0
-        at = order[doubtful]
-        return table.take(pa.array(at)).select(["bucket", "lo", "hi", "rep", "label"])
+            y = y[estimate(sigs[x], sigs[y]) >= least_estimate(num, den)]
+            out.update((p, at, int(reps[x]), int(label[x])) for p, at in set(zip(pool[y].tolist(), block[y].tolist(), strict=True)))
+        rows = sorted(out)
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_VISIT)], schema=_VISIT)
 
     return run
 
@@ -221,10 +236,8 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     """rep and component of every class that a confirmed link joins to another."""
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     many = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
-    sigma = (num / den * (1 - num / den) / (BANDS * ROWS)) ** 0.5 / (1 - 2.0**-BITS)
-    cut = num / den - 6.5 * sigma
     members = written(_blocks(buckets, many, BUCKET_BLOCK), "members")
-    near = members.join(classes.select("rep", "signature"), "rep").groupBy("bucket", "lo", "hi").applyInArrow(_bucket_links(cut), "u long, v long")
+    near = members.join(classes.select("rep", "signature"), "rep").groupBy("bucket", "lo", "hi").applyInArrow(_bucket_links(least_estimate(num, den)), "u long, v long")
     near = written(near.select(F.greatest("u", "v").alias("rep"), F.least("u", "v").alias("hub")).distinct(), "near")
     release(many, members)
 
@@ -241,24 +254,32 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     meet = own.unionByName(size.select("hub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("hub").alias("rep"))).withColumn("label", F.col("rep"))
     links = written(meet.join(sets, "rep").groupBy("hub", "part").applyInArrow(_set_links(num, den), "u long, v long").distinct(), "links")
     joined = written(components(links), "joined")
-    release(near, hubs, size, links)
-
-    # estimated pairs that no link joins yet
-    labels = written(nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "labels")
-    open_ = buckets.join(labels, "rep")
-    mixed = written(open_.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket", "c"), "mixed")
-    again = _blocks(open_, mixed, SET_BLOCK).join(classes.select("rep", "signature", "bands"), "rep")
-    doubtful = again.groupBy("bucket", "lo", "hi").applyInArrow(_suspects(cut), "bucket long, lo int, hi int, rep long, label long")
-    doubtful = written(doubtful, "doubtful")
-    more = doubtful.join(sets, "rep").groupBy("bucket", "lo", "hi").applyInArrow(_set_links(num, den), "u long, v long")
-    named = labels.select(F.col("rep").alias("u"), F.col("label").alias("a")), labels.select(F.col("rep").alias("v"), F.col("label").alias("b"))
-    more = more.join(named[0], "u").join(named[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    last = written(components(more).select(F.col("node").alias("label"), F.col("component").alias("last")), "last")
-    out = labels.join(last, "label", "left").select("rep", F.coalesce("last", "label").alias("component"))
+    release(hubs, size, links)
+
+    # estimated pairs that no link joins yet meet by blocks: of large components, and of all small ones of a cluster
+    clusters = components(near.select(F.col("rep").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    labels = clusters.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label"))
+    labels = written(labels, "clusters")
+    large = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= SET_BLOCK)
+    pooled = written(labels.join(large, "label", "left").select("rep", "label", F.when(F.col("size").isNull(), -1 - F.col("cluster")).otherwise(F.col("label")).alias("pool")), "pooled")
+    counted = pooled.groupBy("pool").agg(F.count("*").alias("size"))
+    block = F.pmod(F.xxhash64(F.lit(9), "rep"), F.ceil(F.col("size") / SET_BLOCK)).cast("int").alias("block")
+    homes = written(pooled.join(counted, "pool").select("rep", "label", "pool", "size", block), "homes")
+    seen = buckets.join(homes, "rep")
+    mixed = written(seen.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket", "c"), "mixed")
+    met = _blocks(seen, mixed, BUCKET_BLOCK).join(classes.select("rep", "signature", "bands", "n_shingles"), "rep")
+    visits = written(met.groupBy("bucket", "lo", "hi").applyInArrow(_visits(num, den), "pool long, block int, rep long, label long").distinct(), "visits")
+    size = written(visits.groupBy("pool", "block").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("n")), "sizes")
+    guests = visits.join(size, ["pool", "block"]).select("pool", "block", part.alias("part"), "rep", "label")
+    hosts = homes.join(size, ["pool", "block"]).select("pool", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "rep", "label")
+    more = guests.unionByName(hosts).join(sets, "rep").groupBy("pool", "block", "part").applyInArrow(_set_links(num, den), "u long, v long")
+    a, b = (labels.select(F.col("rep").alias(r), F.col("label").alias(to)) for r, to in (("u", "a"), ("v", "b")))
+    last = written(components(more.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))), "last")
+    out = labels.join(last.select(F.col("node").alias("label"), F.col("component").alias("last")), "label", "left").select("rep", F.coalesce("last", "label").alias("component"))
     # a class alone in its component has no link
     count = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     out = written(out.join(count, "component").select("rep", "component"), "groups")
-    release(nodes, sets, joined, labels, mixed, doubtful, last)
+    release(near, nodes, sets, joined, labels, pooled, homes, mixed, visits, size, last)
     return out
 
 
@@ -268,8 +289,8 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_signatures(width)), _SIGNATURE_SQL), "signatures")
     # the row whose text stands for the class, one of the least doc_id
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_key"))
-    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(pick.alias("pick"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    classes = written(classes.select("h1", "h2", F.col("pick.doc_id").alias("least"), F.col("pick.text_key").alias("key"), "signature", "bands", F.monotonically_increasing_id().alias("rep")), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(pick.alias("pick"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes.select("h1", "h2", F.col("pick.doc_id").alias("least"), F.col("pick.text_key").alias("key"), "signature", "bands", "n_shingles", F.monotonically_increasing_id().alias("rep")), "classes")
 
     found = _links(classes, docs, width, num, den)
     names = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
