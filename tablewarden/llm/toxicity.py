@@ -34,7 +34,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,14 +46,20 @@ SAMPLE_P, SPACE = 4_000, 1 << 20
 #: Standard errors by which a feature's shares must differ, counts added to its spread, penalty, and steps.
 SCREEN, SMOOTH, PENALTY, STEPS, STRETCH = 2.0, 3.0, 0.05, 40, 0.15
 _BLOCK = 1 << 13
-_WORD = regex.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: ASCII letters and digits and all bytes of other characters stay; what is left of ASCII parts words.
+_APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 PREFIXES = (3, 4, 5, 6)
 
 
+def words_of(text: str) -> set[bytes]:
+    """Distinct lower-cased words."""
+    return set(text.lower().encode("utf-8", "surrogatepass").translate(_APART).split())
+
+
 def word_features(word: str) -> tuple[int, ...]:
     """Hashed features of one lower-cased word."""
     forms = [word, *(f"{word[:n]}\x00{n}" for n in PREFIXES if len(word) > n)]
-    return tuple(xxhash.xxh3_64_intdigest(f) & (SPACE - 1) for f in forms)
+    return tuple(xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) & (SPACE - 1) for f in forms)
 
 
 class _Reader:
@@ -66,10 +71,10 @@ class _Reader:
     def __call__(self, text: str) -> set:
         out: set = set()
         memo = self.memo
-        for w in set(_WORD.findall(text.lower())):
+        for w in words_of(text):
             got = memo.get(w)
             if got is None:
-                got = word_features(w)
+                got = word_features(w.decode("utf-8", "surrogatepass"))
                 if self.choose is not None:
                     got = self.choose(got)
                 if len(memo) > 100_000:
