@@ -1,14 +1,16 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
 Base spans come from fixed expressions (e-mail, IPv4 address, payment card, phone number) and are the seed
-entities.  The words around seeds induce lexical patterns (two words before; one before with one after); the
-same patterns around other identifier-shaped tokens make candidate instances.  Spark scores the
-pattern-instance graph for a fixed number of rounds: a pattern is worth the share of its occurrences that
-stand with trusted instances, shrunk for few seeds, and an instance the best worth of its patterns.  A
-candidate that stands in a pattern of high confidence, and has the shape of the pattern's kind, becomes a
-span.  Learned spans never replace base spans.
-
-The graph has a row per identifier-shaped token, not per word; scores are sums and maxima, so hot patterns
+entities.  What stands around seeds induces lexical patterns, in which marks are tokens of their own: the two
+tokens before, the two words before whatever marks there are, and the token before with the one after.  The same
+patterns around other identifier-shaped strings (numbers in groups, dotted numbers, strings with an @) make
+candidate instances.  Spark scores the pattern-instance graph in rounds: a pattern is worth the share that trusted
+instances of its kind have among all trusted ones that stand in it, whatever their kind, and half of the others;
+it needs ``MIN_SEEDS`` different trusted instances.  An instance is worth its best pattern, and from then on
+supports further patterns.  Every occurrence of a candidate worth ``CONFIDENCE`` becomes a span.  Learned spans
+never replace base spans.
+
+The graph has a row per identifier-shaped string, not per word; scores are sums and maxima, so hot patterns
 are combined before any shuffle.
 
 Defined cases: a null text is empty; positions count code points, end exclusive; of overlapping learned
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import keyed, lean, set_aside, text_rows, written
+from tablewarden.llm.common import keyed, lean, release, set_aside, text_rows, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENCE, MIN_SEEDS = 3, 0.8, 3
+ROUNDS, CONFIDENCE, MIN_SEEDS, DOUBT = 3, 0.8, 5, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,8 +40,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: What may be an identifier: a string with an @, four numbers with dots or commas, a long number, a number in groups.
+_CANDIDATE = re.compile(r"[^\s@<>()\[\]{}\"',;]+@[^\s@<>()\[\]{}\"',;]+|(?<![0-9.,])[0-9]{1,3}(?:[.,][0-9]{1,3}){3}(?![0-9])|(?<![0-9])[0-9]{7,19}(?![0-9])|(?<![0-9])\(?[0-9]{1,4}(?:(?:\)[ ./-]?|[ ./-]{1,2})\(?[0-9]{2,4}){1,6}(?![0-9])")
+_EDGE = "().,;:!?/- "
 
 
 def luhn(digits: str) -> bool:
@@ -85,25 +89,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _shape(token: str) -> list[int]:
-    """Kinds whose shape an unmatched token has."""
+    """Kinds whose shape a candidate has."""
+    if "@" in token:
+        return [0]
     n = sum(c in "0123456789" for c in token)
-    out = []
-    if "@" in token and len(token) >= 5:
-        out.append(0)
-    if token.count(".") >= 3 and n >= 4 and n + token.count(".") == len(token):
-        out.append(1)
-    if 13 <= n <= 19 and n >= len(token) - 4:
-        out.append(2)
-    if 7 <= n <= 15 and n >= len(token) - 5:
-        out.append(3)
-    return out
+    dotted = _FOUR.fullmatch(token) is not None
+    return [1] * dotted + [2] * (13 <= n <= 19 and not dotted) + [3] * (7 <= n <= 15 and not dotted)
 
 
+_FOUR = re.compile(r"[0-9]{1,3}(?:[.,][0-9]{1,3}){3}")
 _EDGES = [("instance", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]
 
 
-def _near(word: str) -> str:
-    return word.strip(_EDGE).lower()[:64]
+def _tokens_before(text: str, at: int) -> list[str]:
+    """The tokens before a place, back to two words; read in growing steps, so that a long word is read whole."""
+    reach = 64
+    while True:
+        begin = max(0, at - reach)
+        found = [m for m in _TOKEN.finditer(text, begin, at) if begin == 0 or m.start() > begin]
+        words = [i for i, m in enumerate(found) if m.group()[0].isalnum() or m.group()[0] == "_"]
+        if begin == 0 or len(words) >= 2:
+            return [m.group().lower() for m in found[words[-2] if len(words) >= 2 else 0 :]]
+        reach *= 4
+
+
+def _patterns(text: str, start: int, stop: int) -> list[str]:
+    before = _tokens_before(text, start)
+    words = [w for w in before if w[0].isalnum() or w[0] == "_"][-2:]
+    after = _TOKEN.search(text, stop)
+    out = {" ".join(before[-2:]) + " _"} if len(before) >= 2 else set()
+    if len(words) == 2:
+        out.add(" ".join(words) + " ~ _")
+    if before and after:
+        out.add(f"{before[-1]} _ {after.group().lower()}")
+    return sorted(out)
 
 
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
@@ -112,30 +131,14 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     if any(c in text for c in "0123456789@"):
         taken = sorted((s, e) for _, s, e in spans)
         at = 0
-        for m in _TOKEN.finditer(text):
-            word = m.group()
-            if len(word) < 5 or len(word) > 64:
-                continue
-            core = word.strip(_EDGE)
-            kinds = _shape(core) if core else []
-            if not kinds:
-                continue
-            start = m.start() + word.index(core)
+        for m in _CANDIDATE.finditer(text):
+            core = m.group().strip(_EDGE if ")" not in m.group() else " ")
+            start = m.start() + m.group().index(core) if core else m.start()
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if at < len(taken) and taken[at][0] < start + len(core):
-                continue
-            marks += [(start, start + len(core), k, False) for k in kinds]
-    out = []
-    for start, stop, kind, seed in marks:
-        before = [_near(w) for w in text[max(0, start - 200) : start].split()[-2:]]
-        after = [_near(w) for w in text[stop : stop + 100].split()[:1]]
-        two = " ".join(before) if len(before) == 2 and all(before) else None
-        around = f"{before[-1]} _ {after[0]}" if before and after and before[-1] and after[0] else None
-        patterns = [p for p in (two and f"{two} _", around) if p]
-        if patterns:
-            out.append({"instance": text[start:stop].lower(), "start": start, "stop": stop, "kind": kind, "seed": seed, "patterns": patterns})
-    return out
+            if core and not (at < len(taken) and taken[at][0] < start + len(core)):
+                marks += [(start, start + len(core), k, False) for k in _shape(core)]
+    return [{"instance": text[s:e].lower(), "start": s, "stop": e, "kind": k, "seed": y, "patterns": _patterns(text, s, e)} for s, e, k, y in marks]
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -153,35 +156,54 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_graph(edges: DataFrame) -> DataFrame:
-    """Patterns worth trusting (pattern, kind, worth), from edges (pattern, kind, instance, seed)."""
+    """Candidates worth trusting (kind, instance), from edges (pattern, kind, instance, seed)."""
     graph = written(edges.groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph")
-    trust = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
+    trust = written(graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("trust")), "trust")
     for _ in range(ROUNDS):
-        trust = written(trust, "trust")
-        worth = (
-            graph.join(trust, ["kind", "instance"])
-            .groupBy("pattern", "kind")
-            .agg(F.sum(F.col("n") * F.col("trust")).alias("good"), F.sum("n").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-            .where(F.col("seeds") >= MIN_SEEDS)
-            .select("pattern", "kind", (F.col("good") / (F.col("all") + 0.5)).alias("worth"))
+        sure = F.col("trust") >= CONFIDENCE
+        by_kind = graph.join(trust, ["kind", "instance"]).groupBy("pattern", "kind").agg(
+            F.sum(F.when(sure, F.col("n") * F.col("trust")).otherwise(0.0)).alias("good"), F.sum(F.when(sure, 0).otherwise(F.col("n"))).alias("open"), F.sum(sure.cast("int")).alias("sure")
         )
-        worth = written(worth, "worth")
-        best = graph.join(worth, ["pattern", "kind"], "left").groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max(F.coalesce("worth", F.lit(0.0))).alias("best"))
-        trust = best.select("kind", "instance", F.greatest("seed", "best").alias("trust"))
-    return worth.where(F.col("worth") >= CONFIDENCE)
+        by_kind = written(by_kind, "patterns")
+        whole = by_kind.groupBy("pattern").agg(F.sum("good").alias("all_good"))
+        worth = by_kind.where(F.col("sure") >= MIN_SEEDS).join(whole, "pattern").select("pattern", "kind", (F.col("good") / (F.col("all_good") + DOUBT * F.col("open") + 0.5)).alias("worth"))
+        best = graph.join(worth.where(F.col("worth") >= CONFIDENCE), ["pattern", "kind"], "left")
+        best = best.groupBy("kind", "instance").agg(F.greatest(F.max(F.col("seed").cast("double")), F.max(F.coalesce("worth", F.lit(0.0)))).alias("trust"), F.max("seed").alias("seed"))
+        best = written(best, "trust")
+        release(trust, by_kind)
+        trust = best
+    return trust.where((F.col("trust") >= CONFIDENCE) & ~F.col("seed")).select("kind", "instance")
+
+
+def _occurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base spans and occurrences of every row, and the occurrences as rows."""
+    rows = written(keyed(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_read), _SQL), "spans")
+    return rows, rows.select("doc_id", "text_key", F.explode("edges").alias("e")).select("doc_id", "text_key", "e.*")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base spans and all spans of every row, as arrays of (kind, start, stop)."""
-    rows = written(keyed(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_read), _SQL), "spans")
-    edges = rows.select("doc_id", "text_key", F.explode("edges").alias("e")).select("doc_id", "text_key", "e.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
-    trusted = score_graph(edges.select("pattern", "kind", "instance", "seed"))
-    learned = edges.where("not seed").join(trusted, ["pattern", "kind"], "left_semi")
+    rows, marks = _occurring(docs)
+    trusted = score_graph(marks.select(F.explode("patterns").alias("pattern"), "kind", "instance", "seed"))
+    learned = marks.where("not seed").join(trusted, ["kind", "instance"], "left_semi")
     learned = learned.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("kind", "start", "stop")).alias("learned"))
     out = rows.select("doc_id", "text_key", "base").join(learned, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return out.select("doc_id", "text_key", "base", F.when(F.col("learned").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "learned"))).alias("spans"))
 
 
+def rediscovered(docs: DataFrame, percent: int = 20) -> tuple[int, int, int]:
+    """How well the method works on ``docs``: of the different seeds ``percent`` are hidden, so that they are
+    candidates.  Returns how many were hidden, how many of them the method found, and how many others it found."""
+    _, marks = _occurring(docs)
+    hidden = F.col("seed") & (F.pmod(F.xxhash64("instance", F.lit(3)), F.lit(100)) < percent)
+    marks = marks.withColumn("hidden", hidden).withColumn("seed", F.col("seed") & ~hidden)
+    found = score_graph(marks.select(F.explode("patterns").alias("pattern"), "kind", "instance", "seed"))
+    all_ = marks.groupBy("kind", "instance").agg(F.max("hidden").alias("hidden"))
+    hits = found.join(all_, ["kind", "instance"]).groupBy("hidden").count().collect()
+    by = {r.hidden: r["count"] for r in hits}
+    return all_.where("hidden").count(), by.get(True, 0), by.get(False, 0)
+
+
 def said(spans: str) -> Column:
     """kind:start:end of each span, joined by commas."""
     kind = F.array(*map(F.lit, KINDS))

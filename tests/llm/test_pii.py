@@ -1,9 +1,10 @@
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tablewarden.llm.pii import KINDS, base_spans, digest, find, luhn, mask, sha
+from tablewarden.llm.pii import KINDS, base_spans, digest, find, luhn, mask, occurrences, rediscovered, sha
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -59,6 +60,51 @@ def test_context_finds_an_unseen_form(spark):
     assert find(docs.limit(0)).collect() == []
 
 
+def test_marks_and_long_words_around_a_candidate():
+    def of(text):
+        (o,) = occurrences(text, [])
+        return text[o["start"] : o["stop"]], o["patterns"]
+
+    assert of("call me at (555)010-7788, ok") == ("(555)010-7788", ["at _ ,", "me at _", "me at ~ _"])
+    assert of("tel: 555 010 7788.") == ("555 010 7788", [": _ .", "tel : _"])
+    long = "w" * 5000
+    assert of(f"{long} x 5550107788") == ("5550107788", [f"{long} x _", f"{long} x ~ _"])
+    assert [o["kind"] for o in occurrences("bob@localhost 1,2,3,4 " + "9" * 16 + " " + "7" * 100_000, [])] == [0, 1, 2]
+
+
+def labelled(n, seed):
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(300)]
+    some = lambda k: " ".join(rng.choices(words, k=k))
+    shown = [
+        lambda: ("Phone: ", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"), lambda: ("mail to <", f"u{rng.randint(0, 10**6)}@host{rng.randint(0, 99)}.org>"),
+        lambda: ("logged in from ", ".".join(str(rng.randint(1, 255)) for _ in range(4))), lambda: ("", f"{rng.randint(10**6, 10**7)}"),
+    ]
+    out = []
+    for i in range(n):
+        label, value = rng.choice(shown)()
+        out.append((i, f"{some(rng.randint(3, 20))} {label}{value} {some(rng.randint(2, 9))}"))
+    return out
+
+
+def test_hidden_seeds_are_found_again(spark):
+    rows = labelled(600, 1) + [(1000 + i, f"w{i % 9} Phone: 555 010 {1000 + i} and") for i in range(8)] + [(2000, "5550101003"), (2001, "555 010 1003 at the start")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hidden, found, others = rediscovered(docs)
+    assert hidden > 60 and found >= 0.9 * hidden and others <= 8
+    got = {r.doc_id: r for r in digest(docs).where("n_learned > 0").collect()}
+    assert set(got) == {1000 + i for i in range(8)} | {2001}
+    assert got[2001].spans == "phone:0:12"
+
+
+def test_discovered_instances_support_new_patterns(spark):
+    rows = [(i, f"x{i} ring us on +1 (555) 010-00{i:02d} w{i}") for i in range(25)]
+    rows += [(50 + i, f"y{i} ring us on 555-010-77{i:02d} w{i}") for i in range(6)]
+    rows += [(70 + i, f"z{i} night desk = 555-010-77{i:02d}") for i in range(6)] + [(90, "q night desk = 555-010-9999")]
+    got = {r.doc_id: r.n_learned for r in digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 1 for i in [*range(50, 56), *range(70, 76), 90]) and not any(got[i] for i in range(25))
+
+
 def test_mask_follows_code_points(spark):
     docs = spark.createDataFrame([(None, "🙂é a@b.cc 1.2.3.4 🙂", 18, "x", 5)], "doc_id long, text string, n_chars long, _spans string, _id int")
     out = mask(docs)
