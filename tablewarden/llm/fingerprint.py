@@ -4,16 +4,20 @@ A fingerprint is the least value of each of ``COUNT`` universal hashes over the
 the lower-cased (A-Z) text, 32 bits each, as hexadecimal.  The likeness of two fingerprints is the share of
 equal values, an unbiased estimate of the Jaccard similarity with a standard error of at most 0.5 / sqrt(COUNT).
 
-``compare`` holds every document against an edit of itself and against the next document by doc_id.  The
-documents are dealt into ranges of doc_id whose bounds come from a summary of all ids; the first document of
-each range also goes, as a bystander, to the range before it (of the first, to the last), so each text is shuffled once (compressed) and
-only the running row and its successor are in memory.
+``compare`` holds every document against an edit of itself and against the next document by doc_id, and gives
+its group of similar documents.  The documents are dealt into ranges of doc_id (and, within a doc_id that many rows
+have, of a hash of the text) whose bounds come from a summary of all ids; the first document of each range also
+goes, as a bystander, to the range before it (of the first, to the last), so each text is shuffled once (compressed)
+and only the running row and its successor are in memory.  As ranges are streamed, ``RANGES`` of them are enough
+at any size, and bounds and first documents have that bound too.
 
-``similar`` joins signature bands in Spark and confirms Jaccard on full sets (see ``neardup``).
+Similar documents: bands of ``neardup.ROWS`` of the fingerprint's values are joined in Spark, and documents that
+share one are confirmed by Jaccard similarity of their full sets (5-word shingles, 0.8), all by ``neardup``'s
+joins but on this module's fingerprints.  A group is what links connect.
 
 Defined cases: a null text counts as empty; the fingerprint of a text without words is all ones, alike only to
 its own; fewer words than a shingle form one; null doc_ids come before all others; repeated doc_ids are in
-order of a hash of the text; a single document is its own next; an empty table gives no rows; other columns are ignored.
+order of a hash of the text, and equal rows of one doc_id stay in one range; a single document is its own next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,25 +32,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import neardup
-from tablewarden.llm.common import ascii_lower, keyed, lean, minima, permutations, shingle_set, table_bytes, text_rows, word_hashes
+from tablewarden.llm.common import ascii_lower, keyed, lean, minima, permutations, shingle_set, table_bytes, text_rows, word_hashes, written
 
 WIDTH, COUNT, SEED = 5, 128, 77
-#: Bytes of table that one range of documents has about.
-RANGE_BYTES = 8 << 20
+#: Bytes of table that one range of documents has about, and the largest number of ranges.
+RANGE_BYTES, RANGES = 8 << 20, 1 << 16
 _FIRST = -(1 << 63)
+#: Values with the highest byte first, as they are shown.
+_BIG = np.dtype(">u4")
 
 
 class Fingerprinter:
     def __init__(self, width: int = WIDTH, count: int = COUNT):
         self.width, self.seeds, self.cache = width, permutations(count, SEED), {}
 
-    def __call__(self, text: str) -> np.ndarray:
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The shingle set and the fingerprint."""
         words = ascii_lower(text.encode("utf-8", "surrogatepass")).split()
-        return minima(shingle_set(word_hashes(words, self.cache), self.width), *self.seeds)
+        shingles = shingle_set(word_hashes(words, self.cache), self.width)
+        return shingles, minima(shingles, *self.seeds)
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.read(text)[1]
 
 
 def shown(signature: np.ndarray) -> str:
-    return signature.astype(">u4").tobytes().hex()
+    return signature.astype(_BIG).tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -73,15 +84,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """Groups of documents of similarity 0.8 and more, from joined bands, with Jaccard confirmed."""
-    return neardup.groups(docs, WIDTH, 80, 100)
+_MARKED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("mark", pa.binary())])
+_MARKED_SQL = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, mark binary"
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = Fingerprinter()
+    for batch in batches:
+        rows = []
+        for (k, t), key in zip(text_rows(iter([batch])), batch.column("text_key").to_pylist(), strict=True):
+            shingles, mark = of.read(t)
+            rows.append((k, key, len(shingles), *neardup.set_key(shingles), mark.astype(_BIG).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _MARKED, strict=True)], schema=_MARKED)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [np.frombuffer(m, _BIG).astype(np.uint32) for m in batch.column("mark").to_pylist()]
+        batch = batch.drop_columns(["mark"]).append_column("signature", pa.array([neardup.low_bits(m) for m in marks], pa.binary()))
+        yield batch.append_column("bands", pa.array([neardup.band_keys(m).tolist() for m in marks], pa.list_(pa.int64())))
+
+
+def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (with text_key, n_shingles, h1, h2 and mark) and the group of each."""
+    classes = neardup.classes_of(rows, "mark").mapInArrow(_banded, "h1 long, h2 long, least long, key long, n_shingles long, signature binary, bands array<long>")
+    return neardup.named(rows, classes, docs, WIDTH, 80, 100)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_OUT_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of the group of similarity 0.8 and more) and class_id (of equal sets) of every row."""
+    docs = keyed(docs)
+    rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_marked), _MARKED_SQL), "marks")
+    return _grouped(rows, docs).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+_OUT = pa.schema([
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_chars", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("edited_sha256", pa.string()),
+    ("mark", pa.binary()), ("edited_mark", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+])
+_OUT_SQL = "doc_id long, text_key long, n_chars long, n_shingles long, h1 long, h2 long, edited_sha256 string, mark binary, edited_mark binary, near_edited double, near_next double"
 _DEALT = pa.schema([("part", pa.int32()), ("own", pa.bool_()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("packed", pa.binary())])
 
 
@@ -89,32 +130,50 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return np.array([_FIRST if k is None else k for k in ids.to_pylist()], np.int64)
 
 
-def _least(bounds: np.ndarray):
-    """The least id of each range, batch by batch."""
+class _Ranges:
+    """Bounds (doc_id, hash of the text), each the last key of its range; a doc_id that cuts repeat is parted by hash."""
+
+    def __init__(self, cuts: list[float]):
+        ids, times = np.unique(np.array([int(x) for x in cuts], np.int64), return_counts=True)
+        self.ids = np.repeat(ids, times)
+        last = (1 << 63) - 1
+        self.keys = np.array([last - (1 << 64) * (n - 1 - i) // n for n in times.tolist() for i in range(n)], np.int64)
+
+    def of(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for i in np.flatnonzero(hi - lo > 1):
+            lo[i] += np.searchsorted(self.keys[lo[i] : hi[i]], keys[i], "left")
+        return lo
+
+
+def _least(bounds: _Ranges):
+    """The least key of each range, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.sort(_ranks(batch.column("doc_id")))
-            part, first = np.unique(np.searchsorted(bounds, ids), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids[first], pa.int64())], names=["part", "least"])
+            ids, keys = _ranks(batch.column("doc_id")), np.array(batch.column("text_key").to_pylist(), np.int64)
+            order = np.lexsort((keys, ids))
+            ids, keys = ids[order], keys[order]
+            part, first = np.unique(bounds.of(ids, keys), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids[first]), pa.array(keys[first])], names=["part", "id", "key"])
 
     return run
 
 
-def _deal(bounds: np.ndarray, guests: dict[int, int]):
-    """Compressed texts with their range; rows of a range's least id go to the range before it too."""
+def _deal(bounds: _Ranges, guests: dict[tuple[int, int], int]):
+    """Compressed texts with their range; rows of a range's least key go to the range before it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             rows: list[tuple] = []
-            rank = _ranks(batch.column("doc_id"))
-            part = np.searchsorted(bounds, rank).tolist()
-            for (k, t), key, p, r in zip(text_rows(iter([batch])), batch.column("text_key").to_pylist(), part, rank.tolist(), strict=True):
+            rank, keys = _ranks(batch.column("doc_id")), batch.column("text_key").to_pylist()
+            part = bounds.of(rank, np.array(keys, np.int64)).tolist()
+            for (k, t), key, p, r in zip(text_rows(iter([batch])), keys, part, rank.tolist(), strict=True):
                 packed = z.compress(t.encode("utf-8", "surrogatepass"))
                 rows.append((p, True, k, key, packed))
-                if r in guests:
-                    rows.append((guests[r], False, k, key, packed))
+                if (r, key) in guests:
+                    rows.append((guests[r, key], False, k, key, packed))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _DEALT, strict=True)], schema=_DEALT)
 
     return run
@@ -126,31 +185,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None
     for batch in batches:
         rows: list[tuple] = []
-        for k, part, own, packed in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("own").to_pylist(), batch.column("packed"), strict=True):
+        for k, key, part, own, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "part", "own")), batch.column("packed"), strict=True):
             text = z.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
-            mark = of(text)
-            if held is not None and held[1] == part:
-                before, _, mine, old = held
+            shingles, mark = of.read(text)
+            if held is not None and held[0] == part:
+                _, before, said, mine, n, old = held
                 changed = edit(mine, text)
-                mark2 = of(changed)
-                rows.append((before, len(mine), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), shown(old), shown(mark2), likeness(old, mark2), likeness(old, mark)))
-            held = (k, part, text, mark) if own else None
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _OUT, strict=True)], schema=_OUT)
+                edited = of(changed)
+                rows.append((*before, len(mine), n, *said, hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), old.astype(_BIG).tobytes(), edited.astype(_BIG).tobytes(), likeness(old, edited), likeness(old, mark)))
+            held = (part, (k, key), neardup.set_key(shingles), text, len(shingles), mark) if own else None
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT, strict=True)], schema=_OUT)
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """op10's columns for every row of ``docs``."""
+    """op10's columns for every row of ``docs``, and component_id and class_id as ``similar`` has them."""
     docs = keyed(docs)
     spark = docs.sparkSession
-    ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(docs) // RANGE_BYTES, 1))
+    ranges = int(min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(docs) // RANGE_BYTES, 1)))
     ids = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).cast("double").alias("id"))
     # a summary of all ids whose size depends on the number of ranges alone; so does what else the driver gets
     cuts = ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    bounds = np.array(sorted({int(x) for x in cuts}), np.int64)
-    firsts = docs.select("doc_id").mapInArrow(lean(_least(bounds)), "part int, least long").groupBy("part").agg(F.min("least").alias("least"))
-    firsts = sorted((r.part, r.least) for r in firsts.collect())
+    bounds = _Ranges(cuts)
+    hashed = docs.withColumn("text_key", F.xxhash64("text"))
+    firsts = hashed.select("doc_id", "text_key").mapInArrow(lean(_least(bounds)), "part int, id long, key long").groupBy("part").agg(F.min(F.struct("id", "key")).alias("least"))
+    firsts = sorted((r.part, (r.least.id, r.least.key)) for r in firsts.collect())
     guests = {least: firsts[i - 1][0] for i, (_, least) in enumerate(firsts)}
-    dealt = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_deal(bounds, guests)), "part int, own boolean, doc_id long, text_key long, packed binary")
+    dealt = hashed.mapInArrow(lean(_deal(bounds, guests)), "part int, own boolean, doc_id long, text_key long, packed binary")
     dealt = dealt.repartitionById(ranges, F.col("part"))
     order = ["part", F.desc("own"), F.asc_nulls_first("doc_id"), "text_key"]
-    return dealt.sortWithinPartitions(*order).mapInArrow(lean(_compare), _OUT_SQL)
+    rows = written(dealt.sortWithinPartitions(*order).mapInArrow(lean(_compare), _OUT_SQL), "compared")
+    out = _grouped(rows, docs)
+    return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("mark")).alias("fingerprint"), F.lower(F.hex("edited_mark")).alias("edited_fingerprint"), "near_edited", "near_next", "component_id", "class_id")

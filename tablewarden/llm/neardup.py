@@ -53,7 +53,6 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(BANDS * ROWS, SEED)
         cache: dict[bytes, int] = {}
-        band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             rows = []
             for (k, t), same in zip(text_rows(iter([batch])), batch.column("text_key").to_pylist(), strict=True):
@@ -62,14 +61,7 @@ def _signatures(width: int):
                     rows.append((k, same, 0, 0, 0, b"", []))
                     continue
                 m = minima(s, a, b)
-                low = (m & np.uint32(15)).astype(np.uint8)
-                wide = m.reshape(BANDS, ROWS).astype(np.uint64)
-                key = band.copy()
-                with np.errstate(over="ignore"):
-                    for j in range(ROWS):
-                        key = mix(key ^ wide[:, j])
-                h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                rows.append((k, same, len(s), int(h[0]), int(h[1]), ((low[::2] << 4) | low[1::2]).tobytes(), key.view(np.int64).tolist()))
+                rows.append((k, same, len(s), *set_key(s), low_bits(m), band_keys(m).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _SIGNATURE, strict=True)], schema=_SIGNATURE)
 
     return run
@@ -283,23 +275,56 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     return out
 
 
-def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """What ``groups`` gives, and the group's number (group_id), null without words."""
-    docs = keyed(docs)
-    rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_signatures(width)), _SIGNATURE_SQL), "signatures")
-    # the row whose text stands for the class, one of the least doc_id
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a shingle set, by which equal sets form a class; two zeros for an empty one."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()) if len(s) else (0, 0)
+
+
+def band_keys(m: np.ndarray) -> np.ndarray:
+    """The bucket of each band of minima."""
+    wide = m.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for j in range(ROWS):
+            key = mix(key ^ wide[:, j])
+    return key.view(np.int64)
+
+
+def low_bits(m: np.ndarray) -> bytes:
+    """The low ``BITS`` bits of minima, packed."""
+    low = (m & np.uint32(15)).astype(np.uint8)
+    return ((low[::2] << 4) | low[1::2]).tobytes()
+
+
+def classes_of(rows: DataFrame, *firsts: str) -> DataFrame:
+    """A row per class of equal sets (h1, h2): its least doc_id, the text_key of a row that stands for it, and ``firsts`` of any row."""
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_key"))
-    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(pick.alias("pick"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
-    classes = written(classes.select("h1", "h2", F.col("pick.doc_id").alias("least"), F.col("pick.text_key").alias("key"), "signature", "bands", "n_shingles", F.monotonically_increasing_id().alias("rep")), "classes")
+    return rows.where("n_shingles > 0").groupBy("h1", "h2").agg(pick.alias("pick"), *[F.first(c).alias(c) for c in ("n_shingles", *firsts)]).select(
+        "h1", "h2", F.col("pick.doc_id").alias("least"), F.col("pick.text_key").alias("key"), "n_shingles", *firsts
+    )
+
+
+def named(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``rows`` (doc_id, h1, h2 and others) with their group: component_id, class_id, group_id (null without words).
 
+    ``classes``: as ``classes_of`` gives them, with signature and bands; ``docs``: as ``keyed`` gives them."""
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = _links(classes, docs, width, num, den)
     names = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
     found = written(found.join(names, "component").select("rep", "component", "name"), "names")
-    named = classes.select("rep", "h1", "h2", "least").join(found, "rep", "left")
-    named = written(named.select("h1", "h2", F.coalesce("component", "rep").alias("group_id"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("name"), "least"), "classes")
-    out = rows.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    by_class = classes.select("rep", "h1", "h2", "least").join(found, "rep", "left")
+    by_class = written(by_class.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("group_id"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("name"), "least"), "classes")
+    release(classes, found)
+    out = rows.join(by_class, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     alone = F.col("group_id").isNull()
-    out = out.select("doc_id", "text_key", "n_shingles", *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(to) for c, to in (("name", "component_id"), ("least", "class_id"))], "group_id")
+    return out.select(*rows.columns, *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(to) for c, to in (("name", "component_id"), ("least", "class_id"))], "group_id")
+
+
+def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """What ``groups`` gives, and the group's number (group_id), null without words."""
+    docs = keyed(docs)
+    rows = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_signatures(width)), _SIGNATURE_SQL), "signatures")
+    out = named(rows.select("doc_id", "text_key", "n_shingles", "h1", "h2"), classes_of(rows, "signature", "bands"), docs, width, num, den)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,8 +1,77 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
-from tablewarden.llm.fingerprint import Fingerprinter, compare, edit, fingerprints, likeness, shown
+from tablewarden.llm import fingerprint, neardup
+from tablewarden.llm.common import permutations
+from tablewarden.llm.fingerprint import COUNT, SEED, Fingerprinter, compare, edit, fingerprints, likeness, shown, similar
+from tests.llm.test_neardup import brute
+
+BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = ((x ^ (x >> shift)) * by) & MASK
+    return x
+
+
+def plain_fingerprint(text):
+    """The least value of each universal hash over the distinct shingles, in whole numbers without numpy's arrays."""
+    words = [xxhash.xxh3_64_intdigest(w) for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()]
+    inverse = pow(BASE, -1, 1 << 64)
+    shingles = set()
+    for i in range(len(words) - 4):
+        h = sum(w * pow(inverse, i + j, 1 << 64) for j, w in enumerate(words[i : i + 5])) * pow(BASE, i, 1 << 64) & MASK
+        shingles.add(plain_mix(h))
+    if 0 < len(words) < 5:
+        shingles.add(plain_mix(sum(w * pow(inverse, j, 1 << 64) for j, w in enumerate(words)) & MASK) ^ len(words))
+    a, b = (x.tolist() for x in permutations(COUNT, SEED))
+    return [min((((x * s + y) & MASK) >> 32 for s in shingles), default=0xFFFFFFFF) for x, y in zip(a, b)]
+
+
+def test_fingerprints_equal_plain_ones():
+    for t in ["", "one", "A b c d", "a B c d e", "the same words the same words the same words again", "é 🙂 x y z " * 7]:
+        assert shown(Fingerprinter()(t)) == "".join(f"{v:08x}" for v in plain_fingerprint(t))
+
+
+def test_groups_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {(d, n, c) for d, n, c, _ in brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in similar(docs).collect()} == want
+    assert {(r.doc_id, r.component_id) for r in compare(docs).collect()} == {(d, c) for d, _, c in want}
+
+
+def test_a_hot_doc_id_spreads_over_ranges():
+    bounds = fingerprint._Ranges([3.0, 7.0, 7.0, 7.0, 7.0, 9.0])
+    keys = np.random.default_rng(0).integers(-(1 << 63), (1 << 63) - 1, 4000)
+    part = bounds.of(np.full(4000, 7), keys)
+    assert set(part.tolist()) == {1, 2, 3, 4} and np.bincount(part).max() < 1200
+    order = np.argsort(keys)
+    assert (np.diff(part[order]) >= 0).all()
+    assert bounds.of(np.array([1, 3, 4, 8, 9, 10]), np.zeros(6, np.int64)).tolist() == [0, 0, 1, 5, 5, 6]
+
+
+def test_rows_of_one_doc_id_in_many_ranges(spark):
+    rows = [(7, f"text {i} of many words here") for i in range(60)] + [(None, f"no id {i}") for i in range(40)] + [(8, "last")]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows)
+    (last,) = [r for r in got if r.doc_id == 8]
+    firsts = {hashlib.sha256(edit("last", t).encode()).hexdigest() for d, t in rows if d is None}
+    assert last.edited_sha256 in firsts
+
+
+def test_bands_find_every_link_of_a_family(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SET_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), " ".join(f"k{x}" for x in range(s, s + 120))) for i, s in enumerate(rng.permutation(rng.integers(0, 400, 60)))]
+    got = {(r.doc_id, r.component_id) for r in similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(d, c) for d, _, c, _ in brute(rows, 5, 80, 100)}
 
 
 def test_whole_table_equals_a_plain_version(spark, sf_dir):
