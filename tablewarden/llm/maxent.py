@@ -1,16 +1,18 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-A token's probability is P(class | context) * P(token | class).  A word's last letters hash to one of ``SUFFIXES``
-groups, and groups that keep the same company are clustered into classes: Spark counts which groups follow which
-in the training documents (a table of fixed size), and the driver factors and clusters it.  P(class | context) is a maximum-entropy model over hashed features of the
-context: the word before, the pair of classes before, the word before that (skip one) and the pair of
-classes with a skip.  P(token | class) comes from the counts of all training tokens with one added to each, one
-share being kept for unknown tokens, so the probabilities of a context sum to one.
+A token's probability is P(class | context) * P(slot | class, context) * P(token | class, slot).  A word's last
+letters hash to one of ``SUFFIXES`` groups; groups that keep the same company are clustered into classes, and those
+of a class into its slots: Spark counts which groups follow which in the training documents (a table of fixed
+size), and the driver factors and clusters it.  The first two factors are maximum-entropy models over hashed features
+of the context: the word before, the word before that (skip one), the kinds before and the kinds with a skip;
+in the second each is joined with the class.  P(token | class, slot) comes from the counts of all training
+tokens with one added to each, one share being kept for unknown tokens, so the probabilities of a context sum to one.
 
 Training: in each of ``ROUNDS`` rounds, over a part of the training documents of its own, every task runs
 gradient steps (AdaGrad by feature row) from the shared weights; Spark averages the tasks' weights by block of
-rows, weighted by how often each row was met.  The weights have a fixed size (``ROWS * CLASSES``), so they
-may be broadcast.  Counts: mappers send each chunk's distinct tokens packed by hash bucket, with the documents
+rows, weighted by how often each row was met, in a tree.  The feature rows grow with the corpus, a row for each
+``ROW_BYTES`` of it, to ``MOST_ROWS`` (16 MB of weights), so that the weights may be broadcast.  Counts grow
+with the corpus without a bound: mappers send each chunk's distinct tokens packed by hash bucket, with the documents
 that hold them; a bucket's reducer adds up the counts and answers with sums for each document of each chunk.
 Nothing that grows with the corpus reaches the driver.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import CHUNK_WORDS, ascii_lower, bucket_count, keyed, lean, least_uint, mix, pack, text_rows, unpack, written
+from tablewarden.llm.common import CHUNK_WORDS, FAN, ascii_lower, bucket_count, folded, keyed, lean, least_uint, mix, pack, table_bytes, text_rows, unpack, written
 
-CLASSES, SUFFIXES, ROWS, BLOCK, ROUNDS, RATE = 32, 1024, 1 << 14, 64, 2, 0.4
+CLASSES, SLOTS, SUFFIXES, BLOCK, ROUNDS, RATE = 16, 16, 1024, 64, 2, 0.4
+#: Feature rows of each factor: the least, the most, and bytes of table for each.
+LEAST_ROWS, MOST_ROWS, ROW_BYTES = 1 << 14, 1 << 17, 1 << 15
 _END = 0  # group 0 and class 0 are the end's own
 _PAIR_BLOCK = 16
 _PUNCTUATION = b".,;:!?%&*$#|\"'()"
@@ -71,8 +76,24 @@ def groups_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(SUFFIXES - 1)).astype(np.int64)
 
 
-def induce(pairs: np.ndarray, size: int = 12, rounds: int = 30) -> np.ndarray:
-    """A class for each group, by weighted k-means over the leading factors of its neighbours' frequencies."""
+def _cluster(points: np.ndarray, weight: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
+    """Weighted k-means, started from points far apart."""
+    centers = [points[weight.argmax()]]
+    nearest = ((points - centers[0]) ** 2).sum(axis=1)
+    for _ in range(min(k, len(points)) - 1):
+        centers.append(points[(nearest * weight).argmax()])
+        nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
+    middle = np.array(centers)
+    for _ in range(rounds):
+        of = ((points[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for j in range(len(middle)):
+            if (mine := weight * (of == j)).any():
+                middle[j] = (points * mine[:, None]).sum(axis=0) / mine.sum()
+    return of
+
+
+def induce(pairs: np.ndarray, size: int = 12) -> np.ndarray:
+    """The kind (class * SLOTS + slot) of each group, by the leading factors of its neighbours' frequencies."""
     near = np.hstack([pairs, pairs.T]).astype(float)
     total = near.sum(axis=1)
     share = np.sqrt(near / np.maximum(total, 1)[:, None]) / np.sqrt(np.sqrt((near.sum(axis=0) + 1e-9) / max(near.sum(), 1)))
@@ -81,33 +102,29 @@ def induce(pairs: np.ndarray, size: int = 12, rounds: int = 30) -> np.ndarray:
     points = vectors[:, -size:] * np.sqrt(np.maximum(values[-size:], 0))
     weight = np.sqrt(total)
     weight[_END] = 0
-    centers = [points[weight.argmax()]]
-    nearest = ((points - centers[0]) ** 2).sum(axis=1)
-    for _ in range(CLASSES - 2):
-        centers.append(points[(nearest * weight).argmax()])
-        nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
-    middle = np.array(centers)
-    for _ in range(rounds):
-        of = ((points[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1)
-        for k in range(len(middle)):
-            if (mine := weight * (of == k)).any():
-                middle[k] = (points * mine[:, None]).sum(axis=0) / mine.sum()
-    of += 1
+    of = 1 + _cluster(points, weight, CLASSES - 1)
     of[_END] = 0
-    return of
+    kinds = of * SLOTS
+    for c in range(1, CLASSES):
+        if (mine := np.flatnonzero(of == c)).size:
+            kinds[mine] += _cluster(points[mine], weight[mine], SLOTS)
+    return kinds
 
 
 _START = np.full(3, 1 << 40, np.uint64)
 
 
-def features(padded: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Rows of the weights for every token but the first three, from the three tokens before it and their classes."""
+def features(padded: np.ndarray, kinds: np.ndarray, n_rows: int) -> np.ndarray:
+    """Rows of the weights of both factors for every token but the first three, from the three tokens before it and their kinds."""
     one, two = padded[2:-1], padded[1:-2]
     kinds = kinds.astype(np.uint64)
-    wide = np.uint64(64)
+    k1, k2, c2, c3, mine = kinds[2:-1], kinds[1:-2], kinds[1:-2] // np.uint64(SLOTS), kinds[:-3] // np.uint64(SLOTS), kinds[3:] // np.uint64(SLOTS)
+    wide, shift = np.uint64(CLASSES * SLOTS), np.uint64(64 - n_rows.bit_length() + 1)
     with np.errstate(over="ignore"):
-        keys = (one + np.uint64(1), kinds[2:-1] * wide + kinds[1:-2] + np.uint64(1 << 50), two + np.uint64(3), kinds[1:-2] * wide + kinds[:-3] + np.uint64(1 << 51))
-        return np.stack([((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64) for k in keys], axis=1)
+        context = (one + np.uint64(1), k1 * wide + c2 + np.uint64(1 << 50), two + np.uint64(3), c2 * wide + c3 + np.uint64(1 << 51))
+        inside = (one + np.uint64(5), k1 * wide + c2 + np.uint64(1 << 52), two + np.uint64(7), k2 + np.uint64(1 << 53))
+        inside = [k + (mine + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) for k in inside]
+        return np.stack([((k * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for k in (*context, *inside)], axis=1)
 
 
 def log_softmax(scores: np.ndarray) -> np.ndarray:
@@ -115,15 +132,31 @@ def log_softmax(scores: np.ndarray) -> np.ndarray:
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def _batches(docs: Iterator[np.ndarray], classes: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, classes, document lengths) of about ``size`` tokens at a time."""
+@dataclass
+class Model:
+    """Weights of both factors (2 x rows x columns), the kind of each group, and the log10 size of each kind."""
+
+    rows: np.ndarray
+    kinds: np.ndarray
+    spare: np.ndarray | None = None
+
+    @property
+    def allowed(self) -> np.ndarray:
+        """The slots that each class has."""
+        out = np.zeros((CLASSES, SLOTS), bool)
+        out.flat[np.unique(self.kinds)] = True
+        return out
+
+
+def _batches(docs: Iterator[np.ndarray], kinds: np.ndarray, n_rows: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, kinds, document lengths) of about ``size`` tokens at a time."""
 
     def made(held: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         padded = np.concatenate([x for t in held for x in (_START, t)])
         # where a document's own tokens stand, behind its three starting ones
         at = np.arange(lengths.sum()) + np.repeat(3 * np.arange(len(lengths)), lengths)
-        kinds = classes[groups_of(padded)]
-        return features(padded, kinds)[at], kinds[3:][at], lengths
+        of = kinds[groups_of(padded)]
+        return features(padded, of, n_rows)[at], of[3:][at], lengths
 
     held: list[np.ndarray] = []
     n = 0
@@ -138,74 +171,85 @@ def _batches(docs: Iterator[np.ndarray], classes: np.ndarray, size: int) -> Iter
 
 
 class Weights:
-    """Feature rows by classes, with what AdaGrad has gathered and how often each row was met."""
+    """Feature rows of both factors, with what AdaGrad has gathered and how often each row was met."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows.copy()
-        self.gathered = np.full(ROWS, 1e-3, np.float32)
-        self.met = np.zeros(ROWS, np.float32)
+    def __init__(self, model: Model):
+        self.rows = model.rows.copy()
+        self.gathered = np.full(model.rows.shape[:2], 1e-3, np.float32)
+        self.met = np.zeros(model.rows.shape[:2], np.float32)
+        self.closed = np.where(model.allowed, 0, -1e9).astype(np.float32)
 
-    def scores(self, at: np.ndarray) -> np.ndarray:
-        out = self.rows[at[:, 0]]
-        for j in range(1, at.shape[1]):
-            out = out + self.rows[at[:, j]]
-        return out
+    def logs(self, factor: int, at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Log probabilities of the classes (factor 0), or of the slots of each token's class (factor 1)."""
+        rows, at = self.rows[factor], at[:, 4 * factor :]
+        out = rows[at[:, 0]] + rows[at[:, 1]] + rows[at[:, 2]] + rows[at[:, 3]]
+        return log_softmax(out if factor == 0 else out + self.closed[kinds // SLOTS])
+
+    def score(self, at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Natural log of P(class | context) * P(slot | class, context) of each token."""
+        n = np.arange(len(kinds))
+        return self.logs(0, at, kinds)[n, kinds // SLOTS] + self.logs(1, at, kinds)[n, kinds % SLOTS]
 
     def learn(self, at: np.ndarray, kinds: np.ndarray) -> None:
         n = len(kinds)
-        slope = np.exp(log_softmax(self.scores(at)))
-        slope[np.arange(n), kinds] -= 1
-        flat = at.T.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        ordered = flat[order]
-        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        rows, times = ordered[start], np.diff(np.append(start, len(ordered))).astype(np.float32)
-        gradient = np.add.reduceat(slope[order % n], start, axis=0) / times[:, None]
-        self.gathered[rows] += (gradient**2).mean(axis=1)
-        self.rows[rows] -= RATE * gradient / np.sqrt(self.gathered[rows])[:, None] / at.shape[1]
-        self.met[rows] += times
+        for factor, target in ((0, kinds // SLOTS), (1, kinds % SLOTS)):
+            slope = np.exp(self.logs(factor, at, kinds))
+            slope[np.arange(n), target] -= 1
+            flat = at[:, 4 * factor : 4 * factor + 4].T.ravel()
+            order = np.argsort(flat.astype(np.uint32), kind="stable")
+            ordered = flat[order]
+            start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            rows, times = ordered[start], np.diff(np.append(start, len(ordered))).astype(np.float32)
+            gradient = np.add.reduceat(slope[order % n], start, axis=0) / times[:, None]
+            self.gathered[factor, rows] += (gradient**2).mean(axis=1)
+            self.rows[factor, rows] -= RATE * gradient / np.sqrt(self.gathered[factor, rows])[:, None] / 4
+            self.met[factor, rows] += times
 
 
-_BLOCK = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+_BLOCK_SQL = "part int, block int, data binary"
 
 
 def _trainer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, classes = shared.value
-        weights, read = Weights(rows), Reader()
-        for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), classes, 32_768):
+        model = shared.value
+        weights, read = Weights(model), Reader()
+        for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), model.kinds, model.rows.shape[1], 32_768):
             for i in range(0, len(kinds), 4096):
                 weights.learn(at[i : i + 4096], kinds[i : i + 4096])
-        met = weights.met.reshape(-1, BLOCK)
-        data = [pack([met[i], weights.rows[i * BLOCK : (i + 1) * BLOCK].ravel()]) for i in range(len(met))]
-        if met.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(met)), pa.int32()), pa.array(data, pa.binary())], schema=_BLOCK)
+        met, rows, before = weights.met.reshape(-1, BLOCK), weights.rows.reshape(-1, BLOCK, SLOTS), model.rows.reshape(-1, BLOCK, SLOTS)
+        blocks = np.flatnonzero(met.any(axis=1))
+        # what changed, weighted by how often a row was met, so that sums of sums can be averaged
+        data = [pack([met[i].astype(np.float64), ((rows[i] - before[i]) * met[i][:, None]).ravel()]) for i in blocks]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], schema=_BLOCK)
 
     return run
 
 
-def _average(table: pa.Table) -> pa.Table:
-    met, total = np.zeros(BLOCK), np.zeros((BLOCK, CLASSES))
-    for x in table["data"]:
-        times, rows = unpack(x.as_py())
-        times = times + 1e-6
-        met += times
-        total += rows.reshape(BLOCK, CLASSES) * times[:, None]
-    return pa.table([table["block"][:1], pa.array([(total / met[:, None]).astype(np.float32).tobytes()], pa.binary())], schema=_BLOCK)
+def _add(table: pa.Table) -> pa.Table:
+    """Blocks of one part, added up array by array."""
+    sums = [sum(x) for x in zip(*(unpack(x.as_py()) for x in table["data"]), strict=True)]
+    return pa.table([table["part"][:1], table["block"][:1], pa.array([pack(sums)], pa.binary())], schema=_BLOCK)
 
 
-def train(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Weights (ROWS x CLASSES) from all rows of ``docs``, each of which takes part in one round."""
+def train(docs: DataFrame, kinds: np.ndarray) -> Model:
+    """Weights from all rows of ``docs``, each of which takes part in one round."""
     docs = keyed(docs)
-    rows = np.zeros((ROWS, CLASSES), np.float32)
+    n_rows = 1 << int(np.clip(table_bytes(docs) // ROW_BYTES, LEAST_ROWS, MOST_ROWS)).bit_length() - 1
+    rows = np.zeros((2, n_rows, SLOTS), np.float32)
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(ROUNDS))
     for r in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((rows, classes))
-        blocks = docs.where(turn == r).mapInArrow(lean(_trainer(shared)), "block int, data binary").groupBy("block").applyInArrow(_average, "block int, data binary")
+        shared = docs.sparkSession.sparkContext.broadcast(Model(rows, kinds))
+        blocks = folded(docs.where(turn == r).mapInArrow(lean(_trainer(shared)), _BLOCK_SQL), docs, ["block"], _add, _BLOCK_SQL)
+        blocks = blocks.groupBy("block").applyInArrow(_add, _BLOCK_SQL)
         rows = rows.copy()
-        for b in blocks.collect():  # a fixed number of rows of a fixed size
-            rows[b.block * BLOCK : (b.block + 1) * BLOCK] = np.frombuffer(b.data, np.float32).reshape(BLOCK, CLASSES)
-    return rows
+        flat = rows.reshape(-1, BLOCK, SLOTS)
+        for b in blocks.collect():  # a bounded number of rows of a fixed size
+            met, change = unpack(b.data)
+            flat[b.block] += (change.reshape(BLOCK, SLOTS) / (met + 1e-6)[:, None]).astype(np.float32)
+        shared.unpersist()
+    return Model(rows, kinds)
 
 
 _ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("suffix", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())])
@@ -272,7 +316,9 @@ def _counter(buckets: int):
         yield from sent()
         if follow.any():
             rows = follow.reshape(-1, _PAIR_BLOCK * SUFFIXES)
-            yield _batch([(-1 - i, _PAIRS, i, None, None, None, pack([least_uint(r)])) for i, r in enumerate(rows)])
+            # of ``FAN`` tasks together: no group has a row of every task
+            part = TaskContext.get().partitionId() // FAN
+            yield _batch([(-1 - i - part * len(rows), _PAIRS, i, part, None, None, pack([least_uint(r)])) for i, r in enumerate(rows)])
 
     return run
 
@@ -281,12 +327,12 @@ def _adder(table: pa.Table) -> pa.Table:
     """A bucket's counts, and for each document of each chunk sums over the bucket's tokens."""
     rows: list[tuple] = []
     parts = []
-    pairs: dict[int, np.ndarray] = {}
-    for bucket, kind, chunk, data in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "chunk", "data")), strict=True):
+    pairs: dict[tuple[int, int], np.ndarray] = {}
+    for bucket, kind, chunk, part, data in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "chunk", "suffix", "data")), strict=True):
         if kind == _DOCS:
             rows.append((bucket, kind, chunk, None, None, None, data))
         elif kind == _PAIRS:
-            pairs[chunk] = pairs.get(chunk, 0) + unpack(data)[0].astype(np.int64)
+            pairs[chunk, part] = pairs.get((chunk, part), 0) + unpack(data)[0].astype(np.int64)
         else:
             parts.append((chunk, unpack(data)))
     if parts:
@@ -304,7 +350,7 @@ def _adder(table: pa.Table) -> pa.Table:
             total = np.bincount(where, weights=worth[mine] * times)
             known = np.bincount(where, weights=(counts[mine] > 0) * times).astype(np.int64)
             rows.append((-1, _SUMS, chunk, None, None, None, pack([least_uint(docs), total, least_uint(known)])))
-    rows += [(-1, _PAIRS, i, None, None, None, pack([r])) for i, r in pairs.items()]
+    rows += [(-1, _PAIRS, i, part, None, None, pack([r])) for (i, part), r in pairs.items()]
     return pa.Table.from_batches([_batch(rows)] if rows else [], _ROW)
 
 
@@ -335,8 +381,9 @@ def counts(docs: DataFrame, training: Column) -> tuple[DataFrame, np.ndarray, np
     for r in table.where(f"kind = {_STATS}").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         n[r.suffix], v[r.suffix] = r.n, r.v
     follow = np.zeros((SUFFIXES // _PAIR_BLOCK, _PAIR_BLOCK * SUFFIXES), np.int64)
-    for r in table.where(f"kind = {_PAIRS}").select("chunk", "data").collect():
-        follow[r.chunk] = unpack(r.data)[0]
+    pairs = table.where(f"kind = {_PAIRS}").select(F.col("suffix").alias("part"), F.col("chunk").cast("int").alias("block"), "data")
+    for r in folded(pairs, docs, ["block"], _add, _BLOCK_SQL).groupBy("block").applyInArrow(_add, _BLOCK_SQL).collect():
+        follow[r.block] = unpack(r.data)[0]
     base = table.where(f"kind IN ({_SUMS}, {_DOCS})").groupBy("chunk").applyInArrow(_gather, _BASE_SQL)
     return base, n, v, follow.reshape(SUFFIXES, SUFFIXES)
 
@@ -344,39 +391,44 @@ def counts(docs: DataFrame, training: Column) -> tuple[DataFrame, np.ndarray, np
 _SCORE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("class_score", pa.float64())])
 
 
-def _scorer(shared, spare: np.ndarray):
-    """Sum over a document's tokens of log10 P(class | context) less ``spare``, the log10 size of the class."""
+def _scorer(shared):
+    """Sum over a document's tokens of log10 P(class, slot | context) less the log10 size of the kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, classes = shared.value
-        weights, read = Weights(rows), Reader()
+        model = shared.value
+        weights, read = Weights(model), Reader()
         for batch in batches:
             sums = []
-            for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), classes, 65_536):
+            for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), model.kinds, model.rows.shape[1], 65_536):
                 logs = np.empty(len(kinds))
                 for i in range(0, len(kinds), 16_384):
-                    some = kinds[i : i + 16_384]
-                    logs[i : i + 16_384] = log_softmax(weights.scores(at[i : i + 16_384]))[np.arange(len(some)), some]
-                sums.append(np.add.reduceat(logs / np.log(10) - spare[kinds], np.cumsum(lengths) - lengths))
+                    logs[i : i + 16_384] = weights.score(at[i : i + 16_384], kinds[i : i + 16_384])
+                sums.append(np.add.reduceat(logs / np.log(10) - model.spare[kinds], np.cumsum(lengths) - lengths))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(sums) if sums else [], pa.float64())], schema=_SCORE)
 
     return run
 
 
+def fit(docs: DataFrame, training: Column) -> tuple[DataFrame, int, int, Model]:
+    """The base columns of every row, training tokens and types, and the trained model."""
+    docs = keyed(docs)
+    base, n, v, follow = counts(docs, training)
+    model = train(docs.where(training), induce(follow))
+    model.spare = np.log10(np.bincount(model.kinds, weights=n + v, minlength=CLASSES * SLOTS) + 1.0)
+    return base, int(n.sum()), int(v.sum()), model
+
+
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """op1's columns for every row: token counts, the unigram base and the model's log10 probability."""
     docs = keyed(docs)
-    base, n, v, follow = counts(docs, training)
-    classes = induce(follow)
-    shared = docs.sparkSession.sparkContext.broadcast((train(docs.where(training), classes), classes))
-    spare = np.log10(np.bincount(classes, weights=n + v, minlength=CLASSES) + 1.0)
-    scored = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_scorer(shared, spare)), "doc_id long, text_key long, class_score double")
+    base, total, types, model = fit(docs, training)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_scorer(shared)), "doc_id long, text_key long, class_score double")
     scored = scored.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("class_score").alias("class_score"))
     out = base.join(scored, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    total, kinds = int(n.sum()), int(v.sum())
     return out.select(
         "doc_id", (~training).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"), (F.col("log_counts") + F.col("class_score")).alias("score"),
+        (F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1)))).alias("base_score"), (F.col("log_counts") + F.col("class_score")).alias("score"),
     )
 
 
