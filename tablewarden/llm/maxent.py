@@ -115,7 +115,7 @@ _START = np.full(3, 1 << 40, np.uint64)
 
 
 def features(padded: np.ndarray, kinds: np.ndarray, n_rows: int) -> np.ndarray:
-    """Rows of the weights of both factors for every token but the first three, from the three tokens before it and their kinds."""
+    """Rows of the weights of both factors (four each) for every token but the first three, from the three tokens before it and their kinds."""
     one, two = padded[2:-1], padded[1:-2]
     kinds = kinds.astype(np.uint64)
     k1, k2, c2, c3, mine = kinds[2:-1], kinds[1:-2], kinds[1:-2] // np.uint64(SLOTS), kinds[:-3] // np.uint64(SLOTS), kinds[3:] // np.uint64(SLOTS)
@@ -124,12 +124,7 @@ def features(padded: np.ndarray, kinds: np.ndarray, n_rows: int) -> np.ndarray:
         context = (one + np.uint64(1), k1 * wide + c2 + np.uint64(1 << 50), two + np.uint64(3), c2 * wide + c3 + np.uint64(1 << 51))
         inside = (one + np.uint64(5), k1 * wide + c2 + np.uint64(1 << 52), two + np.uint64(7), k2 + np.uint64(1 << 53))
         inside = [k + (mine + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) for k in inside]
-        return np.stack([((k * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for k in (*context, *inside)], axis=1)
-
-
-def log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        return np.stack([((k * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for k in (*context, *inside)])
 
 
 @dataclass
@@ -156,7 +151,7 @@ def _batches(docs: Iterator[np.ndarray], kinds: np.ndarray, n_rows: int, size: i
         # where a document's own tokens stand, behind its three starting ones
         at = np.arange(lengths.sum()) + np.repeat(3 * np.arange(len(lengths)), lengths)
         of = kinds[groups_of(padded)]
-        return features(padded, of, n_rows)[at], of[3:][at], lengths
+        return features(padded, of, n_rows)[:, at], of[3:][at], lengths
 
     held: list[np.ndarray] = []
     n = 0
@@ -179,28 +174,36 @@ class Weights:
         self.met = np.zeros(model.rows.shape[:2], np.float32)
         self.closed = np.where(model.allowed, 0, -1e9).astype(np.float32)
 
-    def logs(self, factor: int, at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes (factor 0), or of the slots of each token's class (factor 1)."""
-        rows, at = self.rows[factor], at[:, 4 * factor :]
-        out = rows[at[:, 0]] + rows[at[:, 1]] + rows[at[:, 2]] + rows[at[:, 3]]
-        return log_softmax(out if factor == 0 else out + self.closed[kinds // SLOTS])
+    def scores(self, factor: int, at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Scores of the classes (factor 0), or of the slots of each token's class (factor 1); never so large that exp would overflow."""
+        rows, at = self.rows[factor], at[4 * factor : 4 * factor + 4]
+        out = rows.take(at[0], axis=0)
+        for x in at[1:]:
+            out += rows.take(x, axis=0)
+        np.minimum(out, 60, out=out)
+        return out if factor == 0 else out + self.closed.take(kinds // SLOTS, axis=0)
 
     def score(self, at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Natural log of P(class | context) * P(slot | class, context) of each token."""
-        n = np.arange(len(kinds))
-        return self.logs(0, at, kinds)[n, kinds // SLOTS] + self.logs(1, at, kinds)[n, kinds % SLOTS]
+        n, total = np.arange(len(kinds)), np.zeros(len(kinds), np.float32)
+        for factor, target in ((0, kinds // SLOTS), (1, kinds % SLOTS)):
+            out = self.scores(factor, at, kinds)
+            total += out[n, target] - np.log(np.exp(out).sum(axis=1))
+        return total
 
     def learn(self, at: np.ndarray, kinds: np.ndarray) -> None:
         n = len(kinds)
+        small = np.uint16 if self.rows.shape[1] <= 1 << 16 else np.uint32
         for factor, target in ((0, kinds // SLOTS), (1, kinds % SLOTS)):
-            slope = np.exp(self.logs(factor, at, kinds))
+            slope = np.exp(self.scores(factor, at, kinds))
+            slope /= slope.sum(axis=1, keepdims=True)
             slope[np.arange(n), target] -= 1
-            flat = at[:, 4 * factor : 4 * factor + 4].T.ravel()
-            order = np.argsort(flat.astype(np.uint32), kind="stable")
-            ordered = flat[order]
+            flat = at[4 * factor : 4 * factor + 4].ravel()
+            order = np.argsort(flat.astype(small), kind="stable")
+            ordered = flat.take(order)
             start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             rows, times = ordered[start], np.diff(np.append(start, len(ordered))).astype(np.float32)
-            gradient = np.add.reduceat(slope[order % n], start, axis=0) / times[:, None]
+            gradient = np.add.reduceat(slope.take(order % n, axis=0), start, axis=0) / times[:, None]
             self.gathered[factor, rows] += (gradient**2).mean(axis=1)
             self.rows[factor, rows] -= RATE * gradient / np.sqrt(self.gathered[factor, rows])[:, None] / 4
             self.met[factor, rows] += times
@@ -216,7 +219,7 @@ def _trainer(shared):
         weights, read = Weights(model), Reader()
         for at, kinds, _ in _batches((read(t) for _, t in text_rows(batches)), model.kinds, model.rows.shape[1], 32_768):
             for i in range(0, len(kinds), 4096):
-                weights.learn(at[i : i + 4096], kinds[i : i + 4096])
+                weights.learn(at[:, i : i + 4096], kinds[i : i + 4096])
         met, rows, before = weights.met.reshape(-1, BLOCK), weights.rows.reshape(-1, BLOCK, SLOTS), model.rows.reshape(-1, BLOCK, SLOTS)
         blocks = np.flatnonzero(met.any(axis=1))
         # what changed, weighted by how often a row was met, so that sums of sums can be averaged
@@ -401,8 +404,8 @@ def _scorer(shared):
             sums = []
             for at, kinds, lengths in _batches((read(t) for _, t in text_rows(iter([batch]))), model.kinds, model.rows.shape[1], 65_536):
                 logs = np.empty(len(kinds))
-                for i in range(0, len(kinds), 16_384):
-                    logs[i : i + 16_384] = weights.score(at[i : i + 16_384], kinds[i : i + 16_384])
+                for i in range(0, len(kinds), 4096):
+                    logs[i : i + 4096] = weights.score(at[:, i : i + 4096], kinds[i : i + 4096])
                 sums.append(np.add.reduceat(logs / np.log(10) - model.spare[kinds], np.cumsum(lengths) - lengths))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(sums) if sums else [], pa.float64())], schema=_SCORE)
 

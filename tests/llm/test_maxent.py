@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tablewarden.llm.maxent import CLASSES, SLOTS, SUFFIXES, Model, Reader, Weights, _batches, digest, features, fit, groups_of, held_out, induce, log_softmax
+from tablewarden.llm.maxent import CLASSES, SLOTS, SUFFIXES, Model, Reader, Weights, _batches, digest, features, fit, groups_of, held_out, induce
 
 
 def tokens(t):
@@ -65,7 +65,7 @@ def test_score_equals_a_plain_sum_from_the_same_weights(spark, sf_dir):
         for i, w in enumerate(tokens(t)):
             kind = int(kinds[i + 3])
             for factor, target in ((0, kind // SLOTS), (1, kind % SLOTS)):
-                z = [sum(float(model.rows[factor, r, k]) for r in at[i, 4 * factor : 4 * factor + 4]) for k in range(SLOTS)]
+                z = [sum(float(model.rows[factor, r, k]) for r in at[4 * factor : 4 * factor + 4, i]) for k in range(SLOTS)]
                 z = [x if factor == 0 or allowed[kind // SLOTS, k] else -1e9 for k, x in enumerate(z)]
                 want += (z[target] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))) / math.log(10)
             want += math.log10((c[w] + 1) / (size[kind] + 1))
@@ -87,16 +87,16 @@ def test_learning_lowers_the_loss_of_both_factors():
     assert lengths.tolist() == [len(t)] and (of == kinds[groups_of(t)]).all() and at.max() < 1 << 14
     w = Weights(model)
     n = np.arange(len(of))
-    loss = lambda: (-w.logs(0, at, of)[n, of // SLOTS].mean(), -w.logs(1, at, of)[n, of % SLOTS].mean())
+    chance = lambda f: np.exp(w.scores(f, at, of)) / np.exp(w.scores(f, at, of)).sum(axis=1, keepdims=True)
+    loss = lambda: (-np.log(chance(0)[n, of // SLOTS]).mean(), -np.log(chance(1)[n, of % SLOTS]).mean())
     before = loss()
     for _ in range(8):
         for i in range(0, len(of), 1000):
-            w.learn(at[i : i + 1000], of[i : i + 1000])
+            w.learn(at[:, i : i + 1000], of[i : i + 1000])
     after = loss()
     assert before == pytest.approx((np.log(CLASSES), np.log(SLOTS)), rel=1e-3) and after[0] < 0.4 * before[0] and after[1] < 0.4 * before[1]
-    for factor in (0, 1):
-        assert np.exp(w.logs(factor, at, of)).sum(axis=1) == pytest.approx(1, rel=1e-4)
-    assert log_softmax(np.zeros((1, 2)))[0, 0] == pytest.approx(-np.log(2))
+    assert w.score(at, of).mean() == pytest.approx(-sum(after), rel=1e-4)
+    assert (chance(1)[~model.allowed[of // SLOTS]] == 0).all()
 
 
 def test_groups_of_one_language_share_classes():
