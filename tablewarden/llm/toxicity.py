@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-A linear classifier on the presence of hashed word features (the lower-cased word and its prefixes of 3 to 6
-letters) is trained from confirmed toxic documents (P) and unlabelled ones (U: all training documents, whatever
+A linear classifier on the presence of hashed word features (the lower-cased word and its beginnings of 3 to
+8 bytes) is trained from confirmed toxic documents (P) and unlabelled ones (U: all training documents, whatever
 their label), by minimising
 
     prior * E_P[loss(f, 1)] + max(0, E_U[loss(f, 0)] - prior * E_P[loss(f, 0)])
@@ -48,7 +48,8 @@ SCREEN, SMOOTH, PENALTY, STEPS, STRETCH = 2.0, 3.0, 0.05, 40, 0.15
 _BLOCK = 1 << 13
 #: ASCII letters and digits and all bytes of other characters stay; what is left of ASCII parts words.
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-PREFIXES = (3, 4, 5, 6)
+#: Bytes of a word's beginnings that are features.
+PREFIXES = (3, 4, 5, 6, 8)
 
 
 def words_of(text: str) -> set[bytes]:
@@ -56,10 +57,10 @@ def words_of(text: str) -> set[bytes]:
     return set(text.lower().encode("utf-8", "surrogatepass").translate(_APART).split())
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    """Hashed features of one lower-cased word."""
-    forms = [word, *(f"{word[:n]}\x00{n}" for n in PREFIXES if len(word) > n)]
-    return tuple(xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) & (SPACE - 1) for f in forms)
+def word_features(word: bytes) -> tuple[int, ...]:
+    """Hashed features of one lower-cased word: the word and its beginnings."""
+    digest = xxhash.xxh3_64_intdigest
+    return tuple({digest(word) & (SPACE - 1), *[digest(word[:n], n) & (SPACE - 1) for n in PREFIXES if len(word) > n]})
 
 
 class _Reader:
@@ -74,7 +75,7 @@ class _Reader:
         for w in words_of(text):
             got = memo.get(w)
             if got is None:
-                got = word_features(w.decode("utf-8", "surrogatepass"))
+                got = word_features(w)
                 if self.choose is not None:
                     got = self.choose(got)
                 if len(memo) > 100_000:
