@@ -131,19 +131,23 @@ def _bucket_links(cut: float):
     return run
 
 
-_VISIT = pa.schema([("pool", pa.int64()), ("block", pa.int32()), ("rep", pa.int64()), ("label", pa.int64())])
+_VISIT = pa.schema([("pool", pa.int64()), ("block", pa.int32()), ("rep", pa.int64()), ("label", pa.int64()), ("from_pool", pa.int64()), ("from_block", pa.int32())])
+_VISIT_SQL = "pool long, block int, rep long, label long, from_pool long, from_block int"
+#: Classes of a block that visit another one by themselves; of more, the whole block goes.
+ALONE = 4
 
 
 def _visits(num: int, den: int):
     """Of each pair that may be linked by estimate and sizes, that no link joins yet, and that has no earlier band
-    in common, the class of the smaller pool (or block), with the pool and block that it is to visit."""
+    in common, the class of the smaller pool (or block), with the pool and block that it is to visit; or, where
+    many of a block do, that block (from_pool, from_block)."""
 
     def run(table: pa.Table) -> pa.Table:
         order, reps, sigs, (own, meets) = _met(table)
         label, size, pool, block, n = (np.array(table[c].to_pylist(), np.int64)[order] for c in ("label", "size", "pool", "block", "n_shingles"))
         bands = np.array(table["bands"].to_pylist(), np.int64)[order]
         band = int((bands[0] == table["bucket"][0].as_py()).argmax())
-        out: set[tuple[int, int, int, int]] = set()
+        out: dict[tuple[int, int, int, int], set[int]] = {}
         for x in range(len(reps)):
             mine, theirs = (size[x], pool[x], block[x], reps[x]), (size, pool, block, reps)
             after, same = np.zeros(len(reps), bool), np.ones(len(reps), bool)
@@ -152,8 +156,11 @@ def _visits(num: int, den: int):
             y = np.flatnonzero(after & (own == meets[x]) & (label != label[x]) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
             y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
             y = y[estimate(sigs[x], sigs[y]) >= least_estimate(num, den)]
-            out.update((p, at, int(reps[x]), int(label[x])) for p, at in set(zip(pool[y].tolist(), block[y].tolist(), strict=True)))
-        rows = sorted(out)
+            for p, at in set(zip(pool[y].tolist(), block[y].tolist(), strict=True)):
+                out.setdefault((p, at, int(pool[x]), int(block[x])), set()).add(x)
+        rows = []
+        for (p, at, *home), who in sorted(out.items()):
+            rows += [(p, at, None, None, *home)] if len(who) > ALONE else [(p, at, int(reps[x]), int(label[x]), None, None) for x in sorted(who)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_VISIT)], schema=_VISIT)
 
     return run
@@ -260,7 +267,11 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     seen = buckets.join(homes, "rep")
     mixed = written(seen.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket", "c"), "mixed")
     met = _blocks(seen, mixed, BUCKET_BLOCK).join(classes.select("rep", "signature", "bands", "n_shingles"), "rep")
-    visits = written(met.groupBy("bucket", "lo", "hi").applyInArrow(_visits(num, den), "pool long, block int, rep long, label long").distinct(), "visits")
+    visits = written(met.groupBy("bucket", "lo", "hi").applyInArrow(_visits(num, den), _VISIT_SQL).distinct(), "visits")
+    moved = visits.where("rep IS NULL").select("pool", "block", "from_pool", "from_block")
+    home = homes.select(F.col("pool").alias("from_pool"), F.col("block").alias("from_block"), "rep", "label")
+    moved = moved.join(home, ["from_pool", "from_block"]).select("pool", "block", "rep", "label")
+    asked, visits = visits, written(visits.where("rep IS NOT NULL").select("pool", "block", "rep", "label").union(moved).distinct(), "visits")
     size = written(visits.groupBy("pool", "block").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("n")), "sizes")
     guests = visits.join(size, ["pool", "block"]).select("pool", "block", part.alias("part"), "rep", "label")
     hosts = homes.join(size, ["pool", "block"]).select("pool", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "rep", "label")
@@ -271,7 +282,7 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     # a class alone in its component has no link
     count = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     out = written(out.join(count, "component").select("rep", "component"), "groups")
-    release(near, nodes, sets, joined, labels, pooled, homes, mixed, visits, size, last)
+    release(near, nodes, sets, joined, labels, pooled, homes, mixed, asked, visits, size, last)
     return out
 
 
