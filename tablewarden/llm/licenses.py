@@ -1,21 +1,23 @@
 """License scans: Dice coefficient over word bigrams, with DataFrame operations only.
 
-A text's units are its lines and, if it has several, the text as a whole.  A unit and each template are
-lower-cased, cut into words (letters and digits of any script) and compared by
+A text is cut into words (letters and digits of any script, lower-cased), so line breaks, comment marks and
+punctuation don't count.  A unit is a window of consecutive words as long as a template, wherever it stands: a
+whole file, wrapped lines of it, or a sentence inside a line.  It is compared with its template by
 
     dice = 2 * |A & B| / (|A| + |B|)
 
-over their bags of word bigrams (a single word is its own bigram).  ``dice >= t`` needs a unit that has
-between ``t / (2 - t)`` and ``(2 - t) / t`` times as many bigrams as the template, so bounds on size prune
-templates and most units; a unit is cut into no more words than the largest bound needs.  As ``t / (2 - t)``
-of a unit's bigrams must be shared, so many of its words must be words of some template, which prunes nearly
-all other units before any bag is met.  All of a document stays in its row: there is no shuffle.
+over their bags of word bigrams.  As a window is as long as its template, ``dice >= t`` needs ``t`` of the
+template's bigrams, so of any ``(1 - t) * n + 1`` of its n bigrams at least one: these are its anchors, the longest
+ones.  Only windows in which an anchor stands at its own place are looked at (each anchor of a document gives one),
+and nearly all texts have none; at the start or end of a text a window is cut off, down to the size bound
+``t / (2 - t)`` of the template, below which no bag can reach the threshold.  All of a document stays in its row: there
+is no shuffle.
 
 Templates are a parameter: a bounded list that goes into the plan as literals.
 
-Defined cases: a null text has no units; blank lines are no units; of equal scores the license of the lesser
-name is named; repeated rows are repeated; a null doc_id is kept; other columns are ignored; an empty table
-gives no rows.
+Defined cases: a null text, or one of fewer than two words, has no units; templates need two words; windows of one
+template at different places are matches of their own; of equal scores the license of the lesser name is named;
+repeated rows are repeated; a null doc_id is kept; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: License notices as projects write them, by identifier.
-TEMPLATES = {
+# Texts of public licenses, and notices as projects write them, by identifier.
+NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -39,6 +41,88 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
+
+TEXTS = {
+    "Apache-2.0": [
+        (
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+            'obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, '
+            'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or '
+            'implied. See the License for the specific language governing permissions and limitations under the License.'
+        ),
+    ],
+    "BSD-2-Clause": [
+        (
+            'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are '
+            'met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. '
+            'Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the '
+            'documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS '
+            'IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+            'PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, '
+            'SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, '
+            'OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT '
+            '(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+        ),
+    ],
+    "BSD-3-Clause": [
+        (
+            'Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this '
+            'software without specific prior written permission.'
+        ),
+    ],
+    "GPL-3.0": [
+        (
+            'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by '
+            'the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the '
+            'hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR '
+            'PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with '
+            'this program. If not, see <https://www.gnu.org/licenses/>.'
+        ),
+    ],
+    "ISC": [
+        (
+            'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the '
+            'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL '
+            'WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE '
+            'LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, '
+            'WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS '
+            'SOFTWARE.'
+        ),
+    ],
+    "MIT": [
+        (
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the '
+            '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+            'distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the '
+            'following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the '
+            'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+            'MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY '
+            'CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE '
+            'SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+        ),
+        (
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the '
+            '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+            'distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the '
+            'following conditions:'
+        ),
+    ],
+    "MPL-2.0": [
+        (
+            'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this '
+            'file, You can obtain one at https://mozilla.org/MPL/2.0/.'
+        ),
+    ],
+    "Unlicense": [
+        (
+            'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or '
+            'distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any '
+            'means.'
+        ),
+    ],
+}
+
+TEMPLATES = {name: NOTICES.get(name, []) + TEXTS.get(name, []) for name in sorted(NOTICES.keys() | TEXTS.keys())}
 THRESHOLD = 0.8
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -47,55 +131,67 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def tagged(text: str) -> list[str]:
+def bigrams(w: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
+def tagged(pairs: list[str]) -> list[str]:
     """The bag of bigrams as a set: each with the number of its occurrence."""
-    w = words(text)
     seen: Counter = Counter()
     out = []
-    for pair in [f"{a} {b}" for a, b in zip(w, w[1:])] or w:
+    for pair in pairs:
         seen[pair] += 1
         out.append(f"{pair} {seen[pair]}")
     return out
 
 
-def bounds(size: int, threshold: float) -> tuple[int, int]:
-    """Least and largest bag that can reach the threshold with one of ``size``."""
-    share = threshold / (2 - threshold)
-    return math.ceil(size * share - 1e-9), math.floor(size / share + 1e-9)
+def anchors(pairs: list[str], threshold: float) -> list[int]:
+    """Places of so many bigrams, the longest, that a window without any of them can't reach the threshold."""
+    n = math.floor(len(pairs) * (1 - threshold) + 1e-9) + 1
+    return sorted(sorted(range(len(pairs)), key=lambda i: (-len(pairs[i]), i))[:n])
 
 
-def _bag(w: Column) -> Column:
-    pairs = F.when(F.size(w) > 1, F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1)))).otherwise(w)
-    return F.transform(pairs, lambda p, i: F.concat_ws(" ", p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+def prepared(templates: dict[str, list[str]], threshold: float) -> tuple[list[tuple[str, list[str]]], dict[str, list[tuple[int, int]]]]:
+    """(license, bigrams) of each template, and for each anchor the templates and places where it stands."""
+    out = [(name, bigrams(words(t))) for name, texts in sorted(templates.items()) for t in texts]
+    if not all(pairs for _, pairs in out):
+        raise ValueError("a template needs two words")
+    places: dict[str, list[tuple[int, int]]] = {}
+    for i, (_, pairs) in enumerate(out):
+        for q in anchors(pairs, threshold):
+            places.setdefault(pairs[q], []).append((i, q))
+    return out, places
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and ``matches``: (license, dice) of every unit that reaches the threshold with some template."""
-    bags = [(name, tagged(t)) for name, texts in sorted((templates or TEMPLATES).items()) for t in texts]
-    bags = [(name, bag) for name, bag in bags if bag]
-    fits = [bounds(len(bag), threshold) for _, bag in bags]
-    least, most = min(lo for lo, _ in fits), max(hi for _, hi in fits)
-    vocabulary = sorted({w for texts in (templates or TEMPLATES).values() for t in texts for w in words(t)})
-    share = threshold / (2 - threshold)
-
-    text = F.col("text").cast("string")
-    lines = F.split(text, r"\r\n|\n|\r")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    # an empty first or last word, and one more to see that a unit is too long
-    cut = F.transform(units, lambda u: F.filter(F.split(F.lower(u), _BETWEEN, most + 4), lambda w: w != ""))
-    near = F.filter(cut, lambda w: (F.size(w) >= max(least, 1)) & (F.size(w) <= most + 1) & (F.size(F.filter(w, lambda x: x.isin(vocabulary))) >= share * (F.size(w) - 1)))
-
-    def best(bag: Column) -> Column:
-        def one(name: str, template: list[str], lo: int, hi: int) -> Column:
-            shared = F.size(F.array_intersect(bag, F.array(*map(F.lit, template))))
-            dice = F.when(F.size(bag).between(lo, hi), 2.0 * shared / (F.size(bag) + len(template))).otherwise(0.0)
-            return F.struct((-dice).alias("order"), F.lit(name).alias("license"), dice.alias("dice"))
-
-        return F.array_min(F.array(*[one(name, t, lo, hi) for (name, t), (lo, hi) in zip(bags, fits, strict=True)]))
-
-    scored = F.transform(F.transform(near, _bag), best)
-    found = F.transform(F.filter(scored, lambda s: s["dice"] >= threshold), lambda s: F.struct(s["order"], s["license"], s["dice"]))
-    return docs.select("doc_id", F.coalesce(F.array_sort(found), F.array().cast("array<struct<order:double,license:string,dice:double>>")).alias("matches"))
+    """doc_id and ``matches``: license, dice, and first word and number of words of every window that reaches the threshold."""
+    known, places = prepared(templates or TEMPLATES, threshold)
+    strings = lambda x: F.array(*map(F.lit, x))
+    bags, sizes = F.array(*[strings(tagged(pairs)) for _, pairs in known]), F.array(*[F.lit(len(pairs)) for _, pairs in known])
+    names = strings([name for name, _ in known])
+    where = F.create_map(*[x for pair, at in places.items() for x in (F.lit(pair), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in at]))])
+
+    found = docs.select("doc_id", F.filter(F.split(F.lower(F.col("text").cast("string")), _BETWEEN), lambda w: w != "").alias("w"))
+    pair_at = lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1))
+    hits = F.when(F.size("w") > 1, F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: pair_at(i).isin(list(places))))
+    found = found.withColumn("hits", hits)
+    starts = F.flatten(F.transform("hits", lambda i: F.transform(where[pair_at(i)], lambda x: F.struct(x["t"].alias("t"), F.greatest(i - x["q"], F.lit(0)).alias("start")))))
+    windows = F.when(F.size("hits") > 0, F.array_distinct(starts))
+
+    def rated(x: Column) -> Column:
+        size = F.get(sizes, x["t"])
+        last = F.least(x["start"] + size - 1, F.size("w") - 2)
+        # the number of an occurrence makes the bag a set; arrays of one element stand for local names
+        def dice(pairs: Column) -> Column:
+            bag = F.transform(pairs, lambda p, i: F.concat(p, F.lit(" "), F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+            return 2.0 * F.size(F.array_intersect(bag, F.get(bags, x["t"]))) / (F.size(pairs) + size)
+
+        score = F.get(F.transform(F.array(F.transform(F.sequence(x["start"], last), pair_at)), dice), F.lit(0))
+        score = F.when(last - x["start"] + 1 >= threshold / (2 - threshold) * size - 1e-9, score).otherwise(0.0)
+        return F.struct((-score).alias("order"), F.get(names, x["t"]).alias("license"), score.alias("dice"), x["start"].alias("start"), (last - x["start"] + 2).alias("n_words"))
+
+    matches = F.filter(F.transform(windows, rated), lambda s: s["dice"] >= threshold)
+    return found.select("doc_id", F.coalesce(F.array_sort(matches), F.array().cast("array<struct<order:double,license:string,dice:double,start:int,n_words:int>>")).alias("matches"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -106,24 +202,23 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in DuckDB's SQL, without any pruning."""
-    rows = [(n, i, w) for i, (n, t) in enumerate((n, t) for n, ts in sorted(TEMPLATES.items()) for t in ts) for w in [tagged(t)]]
-    values = ", ".join(f"({i}, '{n}', {len(w)}, '{p}')" for n, i, w in rows for p in w)
+    """The same rows in DuckDB's SQL."""
+    known, places = prepared(TEMPLATES, THRESHOLD)
+    bags = ", ".join(f"({i}, '{p}')" for i, (_, pairs) in enumerate(known) for p in tagged(pairs))
+    sizes = ", ".join(f"({i}, '{name}', {len(pairs)})" for i, (name, pairs) in enumerate(known))
+    at = ", ".join(f"('{pair}', {t}, {q})" for pair, places_ in places.items() for t, q in places_)
     return rf"""
-WITH t(template, license, size, pair) AS (VALUES {values}),
-l AS (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS lines, text FROM documents),
-u AS (SELECT doc_id, u, generate_subscripts AS unit FROM (SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS generate_subscripts
-      FROM (SELECT doc_id, CASE WHEN len(lines) > 1 THEN list_append(lines, text) ELSE lines END AS us FROM l))),
-w AS (SELECT doc_id, unit, regexp_extract_all(lower(u), '[\p{{L}}\p{{N}}]+') AS w FROM u),
-p AS (SELECT doc_id, unit, i, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS pair
-      FROM (SELECT doc_id, unit, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
-b AS (SELECT doc_id, unit, pair || ' ' || row_number() OVER (PARTITION BY doc_id, unit, pair ORDER BY i) AS pair FROM p),
-n AS (SELECT doc_id, unit, count(*) AS size FROM b GROUP BY ALL),
-s AS (SELECT doc_id, unit, template, license, 2.0::DOUBLE * count(*) / (n.size + t.size) AS dice
-      FROM b JOIN t USING (pair) JOIN n USING (doc_id, unit) GROUP BY doc_id, unit, template, license, n.size, t.size),
-m AS (SELECT doc_id, unit, arg_min(license, (-dice, license)) AS license, max(dice) AS dice FROM s WHERE dice >= {THRESHOLD} GROUP BY doc_id, unit),
-d AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY doc_id)
-SELECT documents.doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN d USING (doc_id)
+WITH bag(template, tagged) AS (VALUES {bags}), t(template, license, size) AS (VALUES {sizes}), anchor(pair, template, q) AS (VALUES {at}),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] AS pair, len(w) - 1 AS pairs FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+c AS (SELECT DISTINCT doc_id, template, greatest(i - q, 0) AS start FROM p JOIN anchor USING (pair)),
+b AS (SELECT doc_id, template, license, size, start, pair || ' ' || row_number() OVER (PARTITION BY doc_id, template, start, pair ORDER BY i) AS tagged
+      FROM c JOIN t USING (template) JOIN p USING (doc_id) WHERE i BETWEEN start AND start + size - 1),
+s AS (SELECT doc_id, template, license, start, 2.0::DOUBLE * count(bag.tagged) / (count(*) + size) AS dice, count(*) >= {THRESHOLD} / (2 - {THRESHOLD}) * size - 1e-9 AS enough
+      FROM b LEFT JOIN bag USING (template, tagged) GROUP BY doc_id, template, license, size, start),
+m AS (SELECT * FROM s WHERE enough AND dice >= {THRESHOLD}),
+g AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY doc_id)
+SELECT documents.doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
