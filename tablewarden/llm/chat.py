@@ -12,7 +12,7 @@ undoes this, so every role and text can be read back from the formatted string.
 The loss mask holds (start, length) in code points of the contents of assistant turns.
 
 Turns are gathered in two steps, first in slices of ``SLICE`` turns, so a conversation with very many turns
-meets no other task's rows until its slices are sorted.
+meets no other task's rows until its slices are sorted; what follows goes slice by slice too.
 
 Defined cases: a null text is the empty text, a null role the empty role; turns come in order of turn (null
 first), then role, then text; repeated rows are repeated turns; a null conv_id is one conversation; other
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 512
+SLICE, CHUNK = 512, 1 << 16
 #: Tokens that a unit of an attachment expands to: an image tile, a second of audio, a document's page.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 700}
 PART = "array<struct<kind:string,text:string,ref:string,units:int>>"
@@ -40,49 +40,77 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def running(numbers: Column) -> Column:
+    """For each number the sum of those before it."""
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+    return F.aggregate(numbers, start, step, lambda acc: acc["out"])
+
+
 def format_parts(turns: DataFrame) -> DataFrame:
     """``turns``: conv_id, turn, role and parts (type ``PART``).  One row per conversation: conv_id, formatted,
     attachments (kind, ref, tokens), expanded_tokens (of attachments) and loss_mask (start, length)."""
+    other = lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"
     order = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(PART)).alias("parts"))
     slices = turns.select("conv_id", (F.col("turn") / SLICE).cast("long").alias("slice"), order.alias("turn")).groupBy("conv_id", "slice").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    whole = slices.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("slice", "turns"))), lambda s: s["turns"])).alias("turns"))
-
-    other = lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"
-    counts = F.transform("turns", lambda t: F.size(F.filter(t["parts"], other)))
-    before = F.transform(F.sequence(F.lit(1), F.size("turns")), lambda i: F.aggregate(F.slice("counts", F.lit(1), i - 1), F.lit(0), lambda a, x: a + x))
+    whole = slices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("slice", "turns"))).alias("slices"))
+    # slices anew, of equal length: repeated turns may have made some of them long
+    whole = whole.withColumn("turns", F.flatten(F.transform("slices", lambda s: s["turns"])))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / SLICE).cast("int")), lambda i: F.slice("turns", i * SLICE + 1, F.lit(SLICE)))
+    out = whole.select("conv_id", cut.alias("slices"))
+
+    # running sums go by slices, then within each, so their cost stays in proportion to the turns
+    out = out.withColumn("counts", F.transform("slices", lambda s: F.transform(s, lambda t: F.size(F.filter(t["parts"], other)))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    out = out.withColumn("firsts", running(F.transform("counts", total)))
+    out = out.withColumn("firsts", F.zip_with("counts", "firsts", lambda s, first: F.transform(running(s), lambda x: x + first)))
 
     def visit(t: Column, first: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
             number = first + F.size(F.filter(F.slice(t["parts"], F.lit(1), i), other))
-            return F.when(other(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), number.cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+            # a placeholder's kind is one word, whatever an attachment calls itself
+            kind = F.regexp_replace(F.concat(p["kind"], F.when(p["kind"] == "", F.lit("_")).otherwise(F.lit(""))), r"\W", "_")
+            return F.when(other(p), F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
 
         return F.array_join(F.transform(t["parts"], one), "")
 
-    def written(t: Column, i: Column) -> Column:
-        first = F.when(F.col("any") == 0, F.lit(0)).otherwise(F.coalesce(F.get(F.col("before"), i), F.lit(0)))
+    def written(t: Column, first: Column) -> Column:
         head = F.concat(F.lit(_TURN), escape(t["role"]), F.lit(_BODY))
         return F.struct(head.alias("head"), visit(t, first).alias("body"), (t["role"] == "assistant").alias("loss"))
 
-    out = whole.withColumn("counts", counts).withColumn("any", F.aggregate("counts", F.lit(0), lambda a, x: a + x))
-    out = out.withColumn("before", F.when(F.col("any") > 0, before)).withColumn("pieces", F.transform("turns", written))
-    out = out.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(_END))), ""))
+    out = out.withColumn("pieces", F.zip_with("slices", "firsts", lambda s, f: F.zip_with(s, f, written)))
+    out = out.withColumn("texts", F.transform("pieces", lambda s: F.array_join(F.transform(s, lambda p: F.concat(p["head"], p["body"], F.lit(_END))), "")))
+    out = out.withColumn("formatted", F.array_join("texts", ""))
     kinds = F.create_map(*[F.lit(x) for pair in UNIT_TOKENS.items() for x in pair])
-    attached = F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), other)
+    attached = F.filter(F.flatten(F.flatten(F.transform("slices", lambda s: F.transform(s, lambda t: t["parts"])))), other)
     out = out.withColumn("attachments", F.transform(attached, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), (F.coalesce(kinds[p["kind"]], F.lit(1)) * F.coalesce(p["units"], F.lit(1))).alias("tokens"))))
     out = out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]))
 
-    # running length of the formatted text, and a span wherever the loss applies
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    # a span wherever the loss applies: where its slice starts, where its turn starts in the slice, and its head
+    sizes = F.transform("pieces", lambda s: F.transform(s, lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), p["loss"].alias("loss"))))
+    out = out.withColumn("sizes", sizes).withColumn("begin", running(F.transform("texts", F.length)))
 
-    def step(acc: Column, p: Column) -> Column:
-        head, body = F.length(p["head"]), F.length(p["body"])
-        span = F.array(F.struct((acc["at"] + head).alias("start"), body.alias("length")))
-        return F.struct((acc["at"] + head + body + len(_END)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(s: Column, first: Column) -> Column:
+        at = running(F.transform(s, lambda p: p["head"] + p["body"] + len(_END)))
+        all_ = F.zip_with(s, at, lambda p, x: F.struct(p["loss"].alias("loss"), (first + x + p["head"]).alias("start"), p["body"].alias("length")))
+        return F.transform(F.filter(all_, lambda p: p["loss"]), lambda p: F.struct(p["start"], p["length"]))
 
-    out = out.withColumn("loss_mask", F.aggregate("pieces", start, step, lambda acc: acc["spans"]))
+    out = out.withColumn("loss_mask", F.flatten(F.zip_with("sizes", "begin", spans)))
     return out.select("conv_id", "formatted", "attachments", "expanded_tokens", "loss_mask")
 
 
+def under_mask(formatted: str, mask: str) -> Column:
+    """The strings that the spans of ``mask`` cover, in order, cut from chunks of the text."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(formatted) / CHUNK).cast("int")), lambda i: F.substring(F.col(formatted), i * CHUNK + 1, F.lit(CHUNK)))
+
+    def cut(s: Column, chunks: Column) -> Column:
+        first, last = F.floor(s["start"] / CHUNK).cast("int"), F.floor((s["start"] + s["length"]) / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), s["start"] - first * CHUNK + 1, s["length"])
+
+    # an array of one element stands for a local name
+    return F.flatten(F.transform(F.array(chunks), lambda c: F.transform(mask, lambda s: cut(s, c))))
+
+
 def format_texts(conversations: DataFrame) -> DataFrame:
     """``format_parts`` for conversations (conv_id, turn, role, text) whose turns are one text part each."""
     part = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
@@ -104,8 +132,7 @@ def digest(conversations: DataFrame) -> DataFrame:
     """op8: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all from the formatted string and its mask."""
     out = format_texts(conversations).withColumn("turns", read_back(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    out = out.withColumn("loss", masked)
+    out = out.withColumn("loss", F.array_join(F.transform(under_mask("formatted", "loss_mask"), unescape), ""))
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )

@@ -5,10 +5,10 @@ benchmark; it is written once.  Each benchmark window looks up its rarest terms
 lists, adjusted by their offsets, are intersected first, and what is left are alignments of an item with a
 document.  The lists of the item's other terms are then intersected with the index at those alignments, and
 every window whose terms all stand at their places is a match.  With ``slop`` above 0 each term may stand
-that far from its place (the rarest ones exactly): a proximity match.
+that far from its place, seen from the rarest one: a proximity match.  Then that one alone aligns.
 
-The vocabulary, the marks and the aligned documents are broadcast only while their counted rows stay
-under ``BROADCAST_ROWS``; beyond that they are shuffled.  Common terms are counted by partial sums and are
+The vocabulary, the marks and the aligned documents are written first and broadcast only while their files stay
+under ``BROADCAST_BYTES``; beyond that they are shuffled.  Common terms are counted by partial sums and are
 never marks unless a window has no rarer one.
 
 Defined cases: a null text has no words; an item of fewer words than a window, but not none, is one window;
@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import set_aside, written
+from tablewarden.llm.common import set_aside, table_bytes, written
 
-WIDTH, BROADCAST_ROWS, MARKS = 10, 1_000_000, 2
+WIDTH, BROADCAST_BYTES, MARKS = 10, 16 << 20, 2
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,7 +46,8 @@ def _count(words: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, a written table, to be broadcast if its files are small."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
 def _tokens(table: DataFrame, key: list[str]) -> DataFrame:
@@ -70,18 +71,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
     first = items.groupBy("item").agg(F.min("pos").alias("first"), F.count("*").alias("length"))
     items = items.join(first, "item").withColumn("at", F.col("pos") - F.col("first")).select("item", "at", "term", "word", "length")
     items = written(items, "items")
-    index = build_index(docs, items.select("word", "term").distinct())
+    index = build_index(docs, written(items.select("word", "term").distinct(), "vocabulary"))
 
     # of each window the rarest term; windows with a term that no document has can't occur exactly
     frequency = index.groupBy("term").agg(F.count("*").alias("frequency"))
     starts = items.where(F.col("at") <= F.greatest(F.col("length") - width, F.lit(0))).select("item", F.col("at").alias("start"), F.least("length", F.lit(width)).alias("size"))
-    window = starts.join(items, "item").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("size")))
+    places = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1).cast("array<int>")).alias("at")
+    window = starts.select("item", "start", places).join(items, ["item", "at"])
     rated = window.join(frequency, "term", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
-    # the rarest MARKS terms of each window; a window that occurs has all of them at one alignment
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct("frequency", "at", "term"))), 1, MARKS)
+    # the rarest terms of each window; a window that occurs has all of them at one alignment (with slop the first only)
+    n_marks = MARKS if slop == 0 else 1
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct("frequency", "at", "term"))), 1, n_marks)
     marks = rated.groupBy("item", "start").agg(ranked.alias("marks")).where(F.get("marks", F.lit(0))["frequency"] > 0)
     marks = marks.select("item", F.explode("marks").alias("m")).select("item", "m.at", "m.term").distinct()
-    marks = written(marks, "marks").join(first.select("item", "length"), "item").withColumn("needed", F.least("length", F.lit(MARKS)))
+    marks = written(marks.join(first.select("item", "length"), "item").withColumn("needed", F.least("length", F.lit(n_marks))), "marks")
 
     places = index.join(_small(marks), "term").select("doc_id", "text_key", "item", (F.col("pos") - F.col("at")).alias("shift"), "needed")
     aligned = places.groupBy("doc_id", "text_key", "item", "shift").agg(F.count("*").alias("met"), F.first("needed").alias("needed"))
@@ -89,7 +92,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
     same = index["doc_id"].eqNullSafe(F.col("_id")) & (index["text_key"] == F.col("_key"))
     held = written(aligned.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "aligned-documents")
     lists = index.join(_small(held), same, "left_semi")
-    wanted = aligned.join(_small(items.select("item", "at", "term", "length")), "item").withColumn("place", F.col("at") + F.col("shift"))
+    wanted = aligned.join(_small(written(items.select("item", "at", "term", "length"), "wanted")), "item").withColumn("place", F.col("at") + F.col("shift"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("pos"), F.col("term").alias("_term"))
     met = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("term") == F.col("_term"))
     met = met & ((F.col("place") == F.col("pos")) if slop == 0 else (F.abs(F.col("place") - F.col("pos")) <= slop))

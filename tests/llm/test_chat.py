@@ -41,6 +41,7 @@ def test_odd_rows(spark, monkeypatch):
     from tablewarden.llm import chat
 
     monkeypatch.setattr(chat, "SLICE", 4)
+    monkeypatch.setattr(chat, "CHUNK", 7)
     rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}é") for t in range(23)] + [(2, 0, None, None), (2, 0, "assistant", None), (None, 5, "assistant", "a\nb"), (None, None, "user", "first"), (1, 3, "assistant", "t3é")]
     conv = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", turns int").repartition(3)
     got = {r.conv_id: r for r in digest(conv).collect()}
@@ -60,3 +61,17 @@ def test_parts(spark):
     assert [tuple(a) for a in out.attachments] == [("image", "a.png", 512), ("audio", "b.wav", 250), ("document", "c.pdf", 700)]
     assert out.expanded_tokens == 1462 and [b.text for b in out.back] == ["see  and <|image:9|>", ""]
     assert [out.formatted[m.start : m.start + m.length] for m in out.loss_mask] == ["<|audio:1|><|document:2|>"]
+
+
+def test_kinds_of_any_name_are_read_back(spark):
+    rows = [(1, 0, "user", [("x|><|end|>", None, "a", None), ("", None, "b", None), ("text", "t", None, None)]), (1, 1, "assistant", [("text", "é" * 20, None, None)])]
+    out = format_parts(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {PART}")).withColumn("back", read_back(F_col("formatted"))).first()
+    assert [tuple(b) for b in out.back] == [("user", "t"), ("assistant", "é" * 20)]
+    assert [a.kind for a in out.attachments] == ["x|><|end|>", ""]
+
+
+def test_many_turns_and_long_texts(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}" + "é" * (200_000 if t == 701 else t % 7)) for t in range(3000)]
+    got = digest(spark.createDataFrame(rows, SCHEMA)).first()
+    loss = "".join(x for _, _, r, x in rows if r == "assistant")
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (3000, len(loss), hashlib.sha256(loss.encode()).hexdigest())

@@ -59,6 +59,16 @@ def test_proximity(spark):
     assert [r.n_hit > 0 for r in hits(d, b, slop=1).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_proximity_with_a_word_put_in_or_left_out_anywhere(spark):
+    item = "one two three four five six".split()
+    texts = [item[:i] + ["extra"] + item[i:] for i in range(7)] + [["of", "one"], ["far", "one"] + ["x"] * 9 + item[1:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(100 + i, "two one two four two six four") for i in range(9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    got = {r.doc_id for r in hits(d, b, slop=1).where("n_hit > 0").collect()}
+    assert got == set(range(7))
+
+
 def test_whole_table_equals_sql(spark, sf_dir):
     from tablewarden.llm.decontaminate import ORACLE
     from tests.llm.oracle import same_rows
