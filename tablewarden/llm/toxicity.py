@@ -10,7 +10,7 @@ with the sigmoid loss, loss(f, 1) = sigmoid(-f) and loss(f, 0) = sigmoid(f); whe
 its gradient is reversed.  The class prior is the share of toxic rows among all labelled training rows.
 
 1.  Spark counts in how many documents of P and U each of ``SPACE`` hashed features occurs.  Features whose
-    shares differ by ``SCREEN`` standard errors take part, however many they are (``SPACE`` at most).
+    shares differ by ``SCREEN * log(size of P)`` standard errors take part, however many they are (``SPACE`` at most).
 2.  Every training document is read as the set of its features that take part; equal sets become one row with
     their number, so clean documents, which have few such features, are few rows.
 3.  From zero weights, accelerated proximal gradient steps over all these rows: each is one pass in numpy batches,
@@ -43,13 +43,15 @@ from tablewarden.llm.common import bound_batches, folded, keyed, lean, least_uin
 
 #: Toxic documents that the classifier is fitted on, and the hashed feature space.
 SAMPLE_P, SPACE = 4_000, 1 << 20
-#: Standard errors by which a feature's shares must differ, counts added to its spread, penalty, and steps.
-SCREEN, SMOOTH, PENALTY, STEPS, STRETCH = 2.0, 3.0, 0.05, 40, 0.15
+#: Standard errors, for each e-fold of P, by which a feature's shares must differ; counts added to its spread; penalty; steps.
+SCREEN, SMOOTH, PENALTY, STEPS, STRETCH = 0.35, 3.0, 0.05, 40, 0.15
 _BLOCK = 1 << 13
 #: ASCII letters and digits and all bytes of other characters stay; what is left of ASCII parts words.
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (3, 4, 5, 6, 8)
+#: Words that a worker remembers.
+MEMO = 300_000
 
 
 def words_of(text: str) -> set[bytes]:
@@ -59,33 +61,39 @@ def words_of(text: str) -> set[bytes]:
 
 def word_features(word: bytes) -> tuple[int, ...]:
     """Hashed features of one lower-cased word: the word and its beginnings."""
-    digest = xxhash.xxh3_64_intdigest
-    return tuple({digest(word) & (SPACE - 1), *[digest(word[:n], n) & (SPACE - 1) for n in PREFIXES if len(word) > n]})
+    digest, mask, size = xxhash.xxh3_64_intdigest, SPACE - 1, len(word)
+    return (digest(word) & mask, *[digest(word[:n], n) & mask for n in PREFIXES if size > n])
 
 
 class _Reader:
-    """Features of a text, as ``choose`` gives them for a word's; words are memoised up to a fixed number."""
+    """Features of a text; ``known`` says which of them count.  Words are memoised up to a fixed number."""
 
-    def __init__(self, choose=None):
-        self.choose, self.memo = choose, {}
+    def __init__(self, known=None):
+        self.known, self.memo = known, {}
 
     def __call__(self, text: str) -> set:
         out: set = set()
-        memo = self.memo
+        get = self.memo.get
         for w in words_of(text):
-            got = memo.get(w)
-            if got is None:
-                got = word_features(w)
-                if self.choose is not None:
-                    got = self.choose(got)
-                if len(memo) > 100_000:
-                    memo.clear()
-                if len(w) <= 64:
-                    memo[w] = got
+            got = get(w)
             if got:
                 out.update(got)
+            elif got is None:
+                out.update(self.learn(w))
         return out
 
+    def learn(self, w: bytes) -> tuple[int, ...]:
+        known = self.known
+        if known is None:
+            got = word_features(w)
+        else:
+            got = tuple([i for i in word_features(w) if i in known])
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        if len(w) <= 64:
+            self.memo[w] = got
+        return got
+
 
 @dataclass
 class Model:
@@ -100,7 +108,7 @@ class Model:
         if self.constant is not None:
             return lambda text: self.constant
         weight = dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
-        read = _Reader(lambda ids: tuple(i for i in ids if i in weight))
+        read = _Reader(weight.keys())
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.bias + sum(weight[i] for i in sorted(read(text))), -30, 30))))
 
 
@@ -147,7 +155,7 @@ def _telling(n_p: int, n_u: int):
         share = u / n_u
         spread = np.sqrt(share * (1 - share) + SMOOTH / n_p)
         z = (p / n_p - share) / spread * np.sqrt(n_p)
-        at = np.flatnonzero(np.abs(z) > SCREEN)
+        at = np.flatnonzero(np.abs(z) > SCREEN * np.log(n_p))
         return pa.table([pa.array(table["block"][0].as_py() * _BLOCK + at, pa.int64()), pa.array(share[at]), pa.array(spread[at]), pa.array(z[at])], names=["feature", "share", "spread", "z"])
 
     return run
@@ -159,11 +167,11 @@ _SETS = pa.schema([("positive", pa.bool_()), ("found", pa.binary()), ("n", pa.in
 def _sets(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(features.tolist())}
-        read = _Reader(lambda ids: tuple(place[i] for i in ids if i in place))
+        read = _Reader(place.keys())
         for batch in batches:
             got: Counter = Counter()
             for (_, t), positive in zip(text_rows(iter([batch])), batch.column("positive").to_pylist(), strict=True):
-                got[positive, np.sort(np.fromiter(read(t), np.int32)).tobytes()] += 1
+                got[positive, np.sort(np.fromiter(map(place.__getitem__, read(t)), np.int32)).tobytes()] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.bool_()), pa.array([k[1] for k in got], pa.binary()), pa.array(list(got.values()), pa.int64())], schema=_SETS)
 
     return run
