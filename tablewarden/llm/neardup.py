@@ -38,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, release, set_aside, shingle_set, text_rows, word_hashes, written
+from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, release, set_aside, shingle_set, table_bytes, text_rows, word_hashes, written
 from tablewarden.llm.components import components
 
 BANDS, ROWS, BITS, SEED = 32, 4, 4, 20240607
 #: Classes in a block of a bucket, and classes that meet with their sets.
 BUCKET_BLOCK, SET_BLOCK = 512, 128
+#: Files of the ids and hashes of texts that are wanted, up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SIGNATURE_SQL = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
@@ -241,8 +243,9 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     release(many, members)
 
     nodes = written(near.select("rep").union(near.select("hub")).distinct(), "nodes")
-    wanted = nodes.join(classes, "rep").select("rep", F.col("least").alias("_id"), F.col("key").alias("_key"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).groupBy("rep").agg(F.first("text").alias("text"))
+    wanted = written(nodes.join(classes, "rep").select("rep", F.col("least").alias("_id"), F.col("key").alias("_key")), "wanted")
+    near_by = F.broadcast(wanted) if table_bytes(wanted) <= BROADCAST_BYTES else wanted
+    texts = docs.join(near_by, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).groupBy("rep").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(lean(_sets(width)), _SET_SQL), "sets")
 
     # each class with its hub, in parts of a bounded number
