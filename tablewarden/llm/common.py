@@ -14,6 +14,7 @@ import ctypes
 import gc
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -249,6 +250,24 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return drained
 
 
+#: Seconds between two groups after which unused memory is given back.
+TRIM_S = 2.0
+
+
+def lean_groups(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` for groups; now and then no more memory held than needed, as a task has very many groups."""
+    last = [time.monotonic()]
+
+    def trimmed(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if time.monotonic() - last[0] > TRIM_S:
+            _trim()
+            last[0] = time.monotonic()
+        return out
+
+    return trimmed
+
+
 #: Bytes of an Arrow batch for Python workers, and the setting's name.
 BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 

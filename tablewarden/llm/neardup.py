@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import ascii_lower, keyed, lean, minima, mix, permutations, release, set_aside, shingle_set, table_bytes, text_rows, word_hashes, written
+from tablewarden.llm.common import ascii_lower, keyed, lean, lean_groups, minima, mix, permutations, release, set_aside, shingle_set, table_bytes, text_rows, word_hashes, written
 from tablewarden.llm.components import components
 
 BANDS, ROWS, BITS, SEED = 32, 4, 4, 20240607
@@ -238,7 +238,7 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     many = written(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     members = written(_blocks(buckets, many, BUCKET_BLOCK), "members")
-    near = members.join(classes.select("rep", "signature"), "rep").groupBy("bucket", "lo", "hi").applyInArrow(_bucket_links(least_estimate(num, den)), "u long, v long")
+    near = members.join(classes.select("rep", "signature"), "rep").groupBy("bucket", "lo", "hi").applyInArrow(lean_groups(_bucket_links(least_estimate(num, den))), "u long, v long")
     near = written(near.select(F.greatest("u", "v").alias("rep"), F.least("u", "v").alias("hub")).distinct(), "near")
     release(many, members)
 
@@ -254,7 +254,7 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     part = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("n")).cast("int")
     own = hubs.join(size, "hub").select("hub", part.alias("part"), "rep")
     meet = own.unionByName(size.select("hub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("hub").alias("rep"))).withColumn("label", F.col("rep"))
-    links = written(meet.join(sets, "rep").groupBy("hub", "part").applyInArrow(_set_links(num, den), "u long, v long").distinct(), "links")
+    links = written(meet.join(sets, "rep").groupBy("hub", "part").applyInArrow(lean_groups(_set_links(num, den)), "u long, v long").distinct(), "links")
     joined = written(components(links), "joined")
     release(hubs, size, links)
 
@@ -270,7 +270,7 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     seen = buckets.join(homes, "rep")
     mixed = written(seen.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket", "c"), "mixed")
     met = _blocks(seen, mixed, BUCKET_BLOCK).join(classes.select("rep", "signature", "bands", "n_shingles"), "rep")
-    visits = written(met.groupBy("bucket", "lo", "hi").applyInArrow(_visits(num, den), _VISIT_SQL).distinct(), "visits")
+    visits = written(met.groupBy("bucket", "lo", "hi").applyInArrow(lean_groups(_visits(num, den)), _VISIT_SQL).distinct(), "visits")
     moved = visits.where("rep IS NULL").select("pool", "block", "from_pool", "from_block")
     home = homes.select(F.col("pool").alias("from_pool"), F.col("block").alias("from_block"), "rep", "label")
     moved = moved.join(home, ["from_pool", "from_block"]).select("pool", "block", "rep", "label")
@@ -278,7 +278,7 @@ def _links(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     size = written(visits.groupBy("pool", "block").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("n")), "sizes")
     guests = visits.join(size, ["pool", "block"]).select("pool", "block", part.alias("part"), "rep", "label")
     hosts = homes.join(size, ["pool", "block"]).select("pool", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "rep", "label")
-    more = guests.unionByName(hosts).join(sets, "rep").groupBy("pool", "block", "part").applyInArrow(_set_links(num, den), "u long, v long")
+    more = guests.unionByName(hosts).join(sets, "rep").groupBy("pool", "block", "part").applyInArrow(lean_groups(_set_links(num, den)), "u long, v long")
     a, b = (labels.select(F.col("rep").alias(r), F.col("label").alias(to)) for r, to in (("u", "a"), ("v", "b")))
     last = written(components(more.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))), "last")
     out = labels.join(last.select(F.col("node").alias("label"), F.col("component").alias("last")), "label", "left").select("rep", F.coalesce("last", "label").alias("component"))
