@@ -12,7 +12,7 @@ from tablewarden.functions import text as t
 
 TYPE_SHARE = 0.7  # fixed value: share of values that decides a type
 NUMERIC, TEXT, DATE, BOOLEAN, UNKNOWN = "numeric", "text", "date", "boolean", "unknown"
-EMPTY_MESSAGE = "This table has no data rows to analyze."
+EMPTY_MESSAGE = "There are no data rows below the header."
 
 
 @dataclass

@@ -6,10 +6,9 @@ import re
 import time
 from collections.abc import Callable
 
-from tablewarden.plans.findings import DIMENSION_OF, Finding
+from tablewarden.plans.findings import Finding
 
 MOST_FINDINGS, SECONDS, SHORTEST, LONGEST = 15, 8.0, 10, 400
-_CODES = re.compile("|".join(sorted(DIMENSION_OF)), re.I)
 _ECHOES = ("rewrite the", "rephrase", "as an ai", "sentence:", "instruction")
 
 
@@ -28,16 +27,15 @@ def is_usable(text: str) -> bool:
 
 
 def leaks_code(text: str) -> bool:
-    """Names an issue by its internal code."""
-    return _CODES.search(text) is not None
+    """Holds a word of small letters joined by underscores, as internal codes are."""
+    return any("_" in w.strip("_") and w.strip("_").replace("_", "").isalpha() and w.islower() for w in re.findall(r"\w+", text))
 
 
 def keeps_facts(text: str, finding: Finding) -> bool:
-    """The percentage's whole part and, for a pair, one of its sides survive."""
-    if finding.issue != "structural_issue" and not re.search(rf"(?<!\d){int(finding.percentage)}(?!\d)", text):
-        return False
-    sides = (finding.example or "").split(" vs ")
-    return finding.issue != "fuzzy_duplicate_rows" or any(s.lower() in text.lower() for s in sides)
+    """The percentage's whole part and, of any example, one of its sides survive."""
+    numbers = re.findall(r"\d+", text)
+    sides = [s.strip() for s in (finding.example or "").split(" vs ") if s.strip()]
+    return str(int(finding.percentage)) in numbers and (not sides or any(s in text for s in sides))
 
 
 def phrase(finding: Finding, model: Callable[[str], str] | None) -> str | None:

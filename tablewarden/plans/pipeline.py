@@ -133,7 +133,7 @@ def score_all(spark: SparkSession, paths: list[str], **options) -> Summary:
             try:
                 out.results.append(score_table(table, **options))
             except Exception as e:  # isolation of tables is the point
-                out.failures.append(TableFailure(name, f"Unexpected error scoring this table: {e}"))
+                out.failures.append(TableFailure(name, f"This table couldn't be scored: {e}"))
     return out
 
 

@@ -8,12 +8,14 @@ better read with ``load_large_csv``, which leaves splitting to Spark.
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from charset_normalizer import from_bytes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,14 +36,9 @@ def decode(raw: bytes) -> tuple[str, str | None]:
         return raw.decode("utf-8-sig"), None
     except UnicodeDecodeError:
         pass
-    try:
-        from charset_normalizer import from_bytes
-
-        best = from_bytes(raw).best()
-        if best is not None and best.chaos <= CHAOS:
-            return str(best), f"This file isn't UTF-8; it was read as {best.encoding}."
-    except ImportError:
-        pass
+    best = from_bytes(raw).best()
+    if best is not None and best.chaos <= CHAOS:
+        return str(best), f"This file isn't UTF-8; it was read as {best.encoding}."
     return raw.decode("latin-1"), "This file isn't UTF-8 and its encoding is unclear; it was read as Latin-1."
 
 
@@ -121,9 +118,35 @@ def _place(ref: str) -> int:
     return n - 1
 
 
+# Numbers of the formats that workbooks come with and that show days or times.
+_DAY_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _day_styles(z: zipfile.ZipFile) -> set[str]:
+    """Cell styles whose format shows days or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {f.get("numFmtId"): re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", f.get("formatCode", "")) for f in styles.iter(f"{_SHEET}numFmt")}
+    days = {n for n, code in own.items() if re.search("[dmyhs]", code.lower().replace("general", ""))}
+    cells = styles.find(f"{_SHEET}cellXfs")
+    return {str(i) for i, x in enumerate(cells if cells is not None else ()) if x.get("numFmtId") in days or (x.get("numFmtId") not in own and int(x.get("numFmtId", 0)) in _DAY_FORMATS)}
+
+
+def _day(serial: str, late: bool) -> str:
+    """The day and time that a serial number stands for; ``late``: days count from 1904."""
+    n = float(serial)
+    first = datetime.datetime(1904, 1, 1) if late else datetime.datetime(1899, 12, 31 if n < 60 else 30)
+    when = first + datetime.timedelta(seconds=round(n * 86_400))
+    return str(when.time()) if 0 <= n < 1 else str(when)
+
+
 def sheet_rows(raw: bytes, member: str) -> Iterator[list]:
-    """Cells of a sheet as strings; None where there is none."""
+    """Cells of a sheet as strings, days as yyyy-mm-dd hh:mm:ss; None where there is none."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        days = _day_styles(z)
+        settings = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_SHEET}workbookPr")
+        late = settings is not None and settings.get("date1904") in ("1", "true")
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
@@ -142,6 +165,8 @@ def sheet_rows(raw: bytes, member: str) -> Iterator[list]:
                 cells[at] = shared[int(v.text)]
             elif c.get("t") == "inlineStr":
                 cells[at] = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+            elif v is not None and c.get("s") in days and c.get("t", "n") == "n" and v.text and float(v.text) >= 0:
+                cells[at] = _day(v.text, late)
             elif v is not None:
                 cells[at] = {"1": "True", "0": "False"}.get(v.text, v.text) if c.get("t") == "b" else v.text
         yield cells
@@ -169,7 +194,7 @@ def _read(path: str) -> bytes:
     with open(path, "rb") as f:
         raw = f.read()
     if not raw:
-        raise ValueError("The uploaded file is empty.")
+        raise ValueError("Nothing to read: the file is empty.")
     return raw
 
 
@@ -201,10 +226,12 @@ def load_dataset(spark: SparkSession, path: str) -> Table:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
         return load_csv(spark, path)
-    if kind in ("xlsx", "xls"):
+    if kind == "xls":
+        raise ValueError("Workbooks of the old .xls kind can't be read; save the file as .xlsx.")
+    if kind == "xlsx":
         raw = _read(path)
         return load_sheet(spark, raw, sheet_names(raw)[0][1], path.rsplit("/", 1)[-1])
-    raise ValueError(f"Unsupported file type '.{kind}'; use .csv, .xlsx or .xls.")
+    raise ValueError(f"Unsupported file type '.{kind}'; use .csv or .xlsx.")
 
 
 def load_all_tables(spark: SparkSession, path: str) -> list[tuple[str, Table | None, str | None]]:
@@ -217,15 +244,15 @@ def load_all_tables(spark: SparkSession, path: str) -> list[tuple[str, Table | N
         except ValueError as e:
             return name, None, str(e)
         except Exception as e:  # a broken table must not stop the others
-            return name, None, f"Unexpected error reading this table: {e}"
+            return name, None, f"This table couldn't be read: {e}"
 
-    if not path.lower().endswith((".xlsx", ".xls")):
+    if not path.lower().endswith(".xlsx"):
         return [attempt(base, lambda: load_dataset(spark, path))]
     try:
         raw = _read(path)
         sheets = sheet_names(raw)
     except Exception as e:  # not a workbook
-        return [(base, None, str(e) if isinstance(e, ValueError) else f"Unexpected error reading this table: {e}")]
+        return [(base, None, str(e) if isinstance(e, ValueError) else f"This table couldn't be read: {e}")]
     return [attempt(f"{base} -> {n}", lambda m=m, n=n: load_sheet(spark, raw, m, f"{base} -> {n}")) for n, m in sheets]
 
 

@@ -91,7 +91,7 @@ def test_outliers(spark):
     q = outlier(spark, "Quantity", [2, 3, 1, 4, 5, 6, 7, 0, -1])
     assert q.percentage == 22.22 and q.details["upper"] is None and q.details["exclusive"]
     assert outlier(spark, "Total_Amount", [1000, 1200, 950, 1100, 1050, 990, 1150, 999999]).details["upper"] == 1657.5
-    assert outlier(spark, "Doors", [4, 2, 4, 5, 9]).details == {"rule": "outside the expected set [2, 3, 4, 5]", "allowed": [2, 3, 4, 5]}
+    assert outlier(spark, "Doors", [4, 2, 4, 5, 9]).details == {"rule": "allowed values: 2, 3, 4, 5", "allowed": [2, 3, 4, 5]}
     assert outlier(spark, "Year", [2000, 2050]).percentage == 50.0 and outlier(spark, "Annual_Revenue", [1, 2, 3, 4, 5, 6, 7, 10**9]) is None
 
 
@@ -225,3 +225,30 @@ def test_phrasing_guards():
     many = [f("missing_data", "City") for _ in range(3)]
     phrasing.phrase_all(many, lambda p: "About 1 percent of City is empty today.", lambda: next(clock))
     assert [m.phrased is not None for m in many] == [True, False, False]
+
+
+def test_guards_of_a_rephrasing():
+    from tablewarden.plans.findings import Finding
+    from tablewarden.plans.phrasing import phrase
+
+    f = Finding("t", "City", "consistency", "inconsistent_format_text", 12.5, "moderate", "x", "Pune vs pune ")
+    said = lambda text: phrase(f, lambda _: text)
+    assert said("About 12% of City differ, as in Pune.") == "About 12% of City differ, as in Pune."
+    assert said("About 12% of City differ, as in Goa.") is None and said("About 112 of City differ, as in Pune.") is None
+    assert said("The made_up code hits 12% of City, as in Pune.") is None
+
+
+def test_names_and_hints():
+    from tablewarden.operators.checks import is_identifier
+
+    assert is_identifier("node_id") and is_identifier("order_id") and not is_identifier("customer_id") and not is_identifier("my_order_idx") and not is_identifier("angst")
+
+
+def test_months_by_their_short_names(spark):
+    from pyspark.sql import functions as F
+
+    from tablewarden.functions.text import clean_date
+
+    values = {"15-Sept-2020": "2020-09-15", "Sept 5, 2020": "2020-09-05", "5 sep 2020": "2020-09-05", "May 7, 2021": "2021-05-07", "1 Sex 2020": None}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r.v: r.d for r in df.select("v", clean_date(F.col("v")).alias("d")).collect()} == values

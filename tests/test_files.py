@@ -37,7 +37,7 @@ def test_encodings_and_failures(spark, tmp_path):
         assert table is None and words in error
     with pytest.raises(ValueError):
         files.load_dataset(spark, put(tmp_path / "e.txt", "x"))
-    assert files.load_all_tables(spark, put(tmp_path / "f.xlsx", b"no zip"))[0][2].startswith("Unexpected error")
+    assert files.load_all_tables(spark, put(tmp_path / "f.xlsx", b"no zip"))[0][2].startswith("This table couldn't be read")
 
 
 def workbook(path, sheets):
@@ -71,3 +71,22 @@ def test_cleaned_csv_reads_back(spark, tmp_path):
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
     assert sorted(map(tuple, back.collect()), key=str) == [("Alpha", "600", None), ("Krishna", "1250000", 'say "hi", ok')]
     assert report.file_stub("a b -> c!") == "a_b_-_c" and files.directory(spark, 50).count() == 50
+
+
+def test_days_of_a_workbook(tmp_path, spark):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    path = tmp_path / "days.xlsx"
+    styles = f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="[$-409]d\\ mmm yyyy"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+    row = lambda r, cells: f'<row r="{r}">' + "".join(f'<c r="{c}{r}" s="{s}"{t}><v>{v}</v></c>' for c, s, t, v in cells) + "</row>"
+    head = '<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABCD", ("Name", "Start", "End", "Size"))) + "</row>"
+    rows = [row(i, [("A", 0, "", i), ("B", 1, "", 43845 + i), ("C", 2, "", 43845.5), ("D", 3, "", 43845)]) for i in (2, 3, 4)]
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{head}{"".join(rows)}</sheetData></worksheet>')
+    t = files.load_dataset(spark, str(path))
+    first = t.df.orderBy("_row_id").first()
+    assert (first.c1, first.c2, first.c3) == ("2020-01-17 00:00:00", "2020-01-15 12:00:00", "43845")
+    with pytest.raises(ValueError, match="xls"):
+        files.load_dataset(spark, put(tmp_path / "old.xls", b"x"))
