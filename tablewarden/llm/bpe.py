@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from tablewarden.llm.common import keyed, lean, text_rows
 
 #: Entries of a worker's memos.
-MEMO_WORDS, MEMO_FRAGMENTS = 100_000, 10_000
+MEMO_WORDS, MEMO_FRAGMENTS = 75_000, 10_000
 _NONE = 1 << 60
 
 

@@ -51,7 +51,7 @@ _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (3, 4, 5, 6, 8)
 #: Words that a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def words_of(text: str) -> set[bytes]:
