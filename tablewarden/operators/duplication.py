@@ -44,6 +44,12 @@ class DuplicationResult:
     pairs: DataFrame | None = None
     histogram: dict[float, int] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Give the executors' memory back; what is asked for later is worked out again."""
+        for kept in (self.exact, self.pairs):
+            if kept is not None:
+                kept.unpersist()
+
     @property
     def percentage(self) -> float:
         return round(self.rows_involved / self.n_rows * 100, 2) if self.n_rows else 0.0
@@ -86,10 +92,12 @@ def _tiles(values: DataFrame) -> DataFrame:
     """``values``: block, value, n.  Pairs of tiles of one block (a <= b) as arrays of values and counts."""
     size = values.groupBy("block").agg(F.count("*").alias("in_block"))
     tile = F.pmod(F.xxhash64("value"), F.ceil(F.col("in_block") / TILE)).cast("int")
-    packed = values.join(size, "block").groupBy("block", tile.alias("tile")).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("rows"))
-    a = packed.select("block", F.col("tile").alias("a"), F.col("rows").alias("left_rows"))
+    tiles = F.ceil(F.col("in_block") / TILE).cast("int")
+    packed = values.join(size, "block").groupBy("block", tile.alias("tile"), tiles.alias("tiles")).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("rows"))
+    # a tile meets those from itself on, and the join goes by block and tile, so that a hot block is spread
+    a = packed.select("block", F.col("tile").alias("a"), F.col("rows").alias("left_rows"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("b"))
     b = packed.select("block", F.col("tile").alias("b"), F.col("rows").alias("right_rows"))
-    return a.join(b, "block").where("a <= b").select("a", "b", "left_rows", "right_rows")
+    return a.join(b, ["block", "b"]).select("a", "b", "left_rows", "right_rows")
 
 
 def _pairs(row: dict) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,6 +196,8 @@ def duplication(table: Table) -> DuplicationResult:
     rows = out.pairs.select(F.explode(F.array("row_a", "row_b")).alias("_row_id")).distinct()
     out.fuzzy_rows = rows.count()
     out.rows_involved = rows.unionByName(exact.select("_row_id")).distinct().count() if out.fuzzy_rows else out.exact_rows
+    values.unpersist()
+    candidates.unpersist()
     first = out.pairs.orderBy("row_a", "row_b").limit(1).collect()
     out.first_pair = (first[0].value_a, first[0].value_b) if first else None
     return out

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions import text as t
 from tablewarden.operators.duplication import DuplicationResult
 from tablewarden.operators.profile import Table
+from tablewarden.operators.quantiles import exact_quantiles
 from tablewarden.plans.findings import Finding
 
 CASE_SHARE = 0.8  # fixed value: share of a spelling that may set the case of the rest
@@ -225,8 +226,9 @@ class _Cleaner:
         fill: str | None = self.config.constant
         present = self._live().where(~t.is_blank(c))
         if how == MEDIAN:
-            median = present.agg(F.percentile(t.coerced(t.strip(c)), 0.5).alias("m")).first().m
-            fill = f"{median:g}" if median is not None else None
+            numbers = present.select(F.lit(0).alias("col"), t.coerced(t.strip(c)).alias("x"), F.lit(1).alias("cnt")).where("x IS NOT NULL")
+            median = exact_quantiles(numbers, (0.5,)).get(0)
+            fill = f"{median[0][0]:g}" if median is not None else None
         elif how == MODE:
             best = present.groupBy(c.alias("v")).agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), "v")).alias("best")).first().best
             fill = best[1] if best is not None else None

@@ -61,7 +61,7 @@ _MISSING = f"count(*) FILTER ({{c}} IS NULL OR trim({{c}}) = '' OR lower(trim({{
 def _completeness(table: str, key: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = from_dataframe(read(spark, sf_dir, table), table, key)
-        return _named(checks.missing_counts(value_profile(made)), made.names)
+        return _named(checks.missing_counts(made), made.names)
 
     return run
 
@@ -82,7 +82,7 @@ _DIRTY_EVENTS = "(SELECT *, CASE WHEN event_id % 7 = 0 THEN 'N/A' WHEN event_id
 
 @query(f"SELECT count(*) FILTER (kind IS NULL OR trim(kind) = '' OR lower(trim(kind)) IN {_TOKENS}) AS missing, count(*) AS total FROM {_DIRTY_EVENTS}")
 def completeness_dirty_events(spark, sf_dir):
-    return checks.missing_counts(value_profile(column_of(_dirty_events(spark, sf_dir), "event_id", F.col("kind")))).drop("col")
+    return checks.missing_counts(column_of(_dirty_events(spark, sf_dir), "event_id", F.col("kind"))).drop("col")
 
 
 @query(f"SELECT count(*) FILTER (lower(trim(kind)) IN {_TOKENS}) AS n, array_to_string(list_sort(list(DISTINCT trim(kind)) FILTER (lower(trim(kind)) IN {_TOKENS}))[1:5], ',') AS tokens FROM {_DIRTY_EVENTS}")
@@ -190,8 +190,7 @@ def _numbers(spark, sf_dir, table: str, column: str) -> DataFrame:
 def _outliers(spark, sf_dir, table: str, column: str) -> DataFrame:
     """Rows outside a column's rule or its fences (with their bounds)."""
     numbers = _numbers(spark, sf_dir, table, column)
-    r = validity.quartiles(numbers).first()
-    rule, fences, _ = validity.outlier_rule(column, (r.q1, r.q3, r["values"]), as_of_year=2024)
+    rule, fences, _ = validity.outlier_rule(column, validity.quartiles(numbers).get(0), as_of_year=2024)
     x = F.col("x")
     bad = validity.violates(x, rule) if rule else F.lit(False)
     if fences:
@@ -470,7 +469,9 @@ def category_top10_other(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, table: str, key: str) -> pipeline.TableResult:
-    return pipeline.score_table(from_dataframe(read(spark, sf_dir, table), table, key), as_of_year=2024)
+    result = pipeline.score_table(from_dataframe(read(spark, sf_dir, table), table, key), as_of_year=2024)
+    result.release()
+    return result
 
 
 @query()

@@ -263,14 +263,25 @@ def load_large_csv(spark: SparkSession, path: str, name: str) -> Table:
     return Table(name, df.select(F.monotonically_increasing_id().alias("_row_id"), *cells), list(df.columns))
 
 
-def directory(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """A synthetic business directory of n rows."""
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(seed + salt)), F.lit(len(words))) + 1).cast("int"))
-    front, back = ("Shree", "Royal", "National", "Modern", "Sunrise", "Golden"), ("Traders", "Textiles", "Foods", "Motors", "Steel", "Papers")
-    city = ("Surat", "Pune", "Indore", "Nagpur", "Rajkot")
-    df = spark.range(n)
-    number = lambda salt, top: F.pmod(F.xxhash64("id", F.lit(seed + salt)), F.lit(top))
+# Words and ranges of the synthetic directory.
+FRONT = ("Shree", "Royal", "National", "Modern", "Sunrise", "Golden", "Eastern", "Prime", "Lotus", "Crown", "Union", "Metro")
+BACK = ("Traders", "Textiles", "Foods", "Motors", "Steel", "Papers", "Chemicals", "Ceramics", "Timber", "Exports", "Garments", "Tools")
+GIVEN, FAMILY = ("Asha", "Ben", "Cyra", "Dev", "Eli", "Fay", "Gita", "Hari"), ("Rao", "Roy", "Nair", "Shah", "Joshi", "Kurup")
+TOWNS, TRADES = ("Surat", "Pune", "Indore", "Nagpur", "Rajkot"), ("Manufacturing", "Trading", "Services", "Retail", "Wholesale")
+
+
+def directory(spark: SparkSession, n: int, seed: int = 7, misspelled: int = 40, copied: int = 60) -> DataFrame:
+    """A synthetic business directory of n rows: one name in ``misspelled`` has two letters turned round, and one row
+    in ``copied`` is the row before it under another key (0: none).  Each cell is a function of seed and row number,
+    so any part of any size can be made again."""
+    own = F.col("id") - (F.pmod("id", F.lit(copied)) == copied - 1).cast("long") if copied > 1 else F.col("id")
+    number = lambda salt, top: F.pmod(F.xxhash64("own", F.lit(seed), F.lit(salt)), F.lit(top))
+    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (number(salt, len(words)) + 1).cast("int"))
+    df = spark.range(n).withColumn("own", own).withColumn("name", F.concat_ws(" ", pick(FRONT, 1), pick(BACK, 2)))
+    turned = F.concat(F.substring("name", 1, 1), F.substring("name", 3, 1), F.substring("name", 2, 1), F.expr("substring(name, 4)"))
     return df.select(
-        F.col("id").alias("row"), F.concat_ws(" ", pick(front, 1), pick(back, 2)).alias("Business_Name"), F.format_string("GST%09d", number(3, 10**9)).alias("GST_Number"), pick(city, 4).alias("City"),
-        (number(5, 900) * 1000 + 50_000).cast("string").alias("Annual_Turnover"), F.date_format(F.date_add(F.lit("2010-01-01").cast("date"), number(6, 4000).cast("int")), "yyyy-MM-dd").alias("Registration_Date"), (number(7, 200) + 1).cast("string").alias("Employee_Count"),
+        F.col("id").alias("row"), (F.when(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(misspelled)) == 0, turned).otherwise(F.col("name")) if misspelled else F.col("name")).alias("Business_Name"),
+        F.concat_ws(" ", pick(GIVEN, 3), pick(FAMILY, 4)).alias("Owner_Name"), F.format_string("GST%09d", number(5, 10**9)).alias("GST_Number"), pick(TRADES, 6).alias("Business_Category"), pick(TOWNS, 7).alias("City"),
+        (number(8, 9000) * 1000 + 150_000).cast("string").alias("Annual_Turnover"), F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), number(9, 3200).cast("int")), "yyyy-MM-dd").alias("Registration_Date"),
+        (number(10, 59) + 2).cast("string").alias("Employee_Count"), F.format_string("9%09d", number(11, 10**9)).alias("Phone_Number"), F.concat(F.lower(F.replace("name", F.lit(" "), F.lit(""))), F.lit("@example.com")).alias("Email"),
     )
