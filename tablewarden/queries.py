@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions import text as t
 from tablewarden.functions.similarity import jaro_winkler_similarity, token_sort_ratio
 from tablewarden.operators import checks, duplication, validity
-from tablewarden.operators.profile import Table, from_dataframe, infer_types, value_profile
+from tablewarden.operators.profile import Table, from_dataframe, infer_types, prepare, value_profile
 from tablewarden.plans import charts, findings, pipeline, remediation
 from tablewarden.plans.findings import AT_LEAST_MODERATE, Finding
 
@@ -271,17 +271,31 @@ def identifier_duplicates(spark, sf_dir):
 
 
 @query("SELECT column_name, present, distinct_values FROM (SELECT 'c_name' AS column_name, count(*) AS present, count(DISTINCT c_name) AS distinct_values FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(DISTINCT c_mktsegment) FROM customer)")
-def identity_column(spark, sf_dir):
+def column_shapes(spark, sf_dir):
     made = from_dataframe(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "customer", "c_custkey")
     shapes = _named(duplication.column_shapes(value_profile(made)), made.names)
     return shapes.where("column_name <> 'c_custkey'").select("column_name", "present", F.col("values").alias("distinct_values"))
 
 
+def _shapes(made: Table) -> dict[int, Row]:
+    return {r.col: r for r in duplication.column_shapes(made.profile).collect()}
+
+
+@query("SELECT column_name AS identity FROM (SELECT 'c_mktsegment' AS column_name, count(c_mktsegment) AS n, count(DISTINCT c_mktsegment) AS d FROM customer UNION ALL SELECT 'c_name', count(c_name), count(DISTINCT c_name) FROM customer) WHERE d >= 5 AND d >= 0.3 * n ORDER BY CASE WHEN column_name LIKE '%name%' THEN 0 ELSE 1 END LIMIT 1")
+def identity_column(spark, sf_dir):
+    made = prepare(from_dataframe(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name"), "customer", "c_custkey"))
+    chosen = duplication.choose_identity(made.names, made.types, {i: (r.present, r["values"]) for i, r in _shapes(made).items()})
+    made.profile.unpersist()
+    return spark.createDataFrame([(chosen,)], "identity string")
+
+
 @query("SELECT column_name, 2 * largest >= present AS low_information FROM (SELECT 'p_brand' AS column_name, max(n) AS largest, CAST(sum(n) AS BIGINT) AS present FROM (SELECT count(*) AS n FROM part GROUP BY p_brand) UNION ALL SELECT 'one', count(*), count(*) FROM part)")
 def low_information_columns(spark, sf_dir):
     made = from_dataframe(read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lit("x").alias("one")), "part", "p_partkey")
-    shapes = _named(duplication.column_shapes(value_profile(made)), made.names).where("column_name <> 'p_partkey'")
-    return shapes.select("column_name", (F.col("largest") * 2 >= F.col("present")).alias("low_information"))
+    prepare(made)
+    poor = duplication.low_information(made.names, "p_partkey", {i: (r.present, r.largest) for i, r in _shapes(made).items()})
+    made.profile.unpersist()
+    return spark.createDataFrame([(n, n in poor) for n in made.names if n != "p_partkey"], "column_name string, low_information boolean")
 
 
 @query("SELECT p_partkey, substr(array_to_string(list_sort(regexp_split_to_array(lower(trim(p_name)), '\\s+')), ' '), 1, 4) AS block FROM part")
@@ -444,11 +458,12 @@ def severity_counts(spark, sf_dir):
     return _graded(spark).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'r_name' AS column_name, count(DISTINCT r_name) AS distinct_values, max(n) AS largest FROM (SELECT r_name, count(*) OVER (PARTITION BY r_name) AS n FROM region)")
+@query("WITH v AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'often' ELSE 'seldom' END AS v FROM customer), n AS (SELECT v, count(*) AS n FROM v GROUP BY v) SELECT '''v'' has ' || count(*) || ' different value(s); the most frequent is ''' || arg_max(v, n) || ''' (' || CAST(round(100.0 * max(n) / sum(n)) AS INT) || '% of the rows).' AS note FROM n")
 def low_cardinality(spark, sf_dir):
-    made = from_dataframe(read(spark, sf_dir, "region").select("r_regionkey", "r_name"), "region", "r_regionkey")
-    shapes = _named(duplication.column_shapes(value_profile(made)), made.names).where("column_name = 'r_name'")
-    return shapes.select("column_name", F.col("values").alias("distinct_values"), "largest")
+    made = prepare(column_of(read(spark, sf_dir, "customer"), "c_custkey", F.when(_mod("c_custkey", 4) == 0, "often").otherwise("seldom")))
+    note = charts.low_cardinality_note(made, "v")
+    made.profile.unpersist()
+    return spark.createDataFrame([(note,)], "note string")
 
 
 @query("WITH x AS (SELECT l_quantity::DOUBLE AS x FROM lineitem), s AS (SELECT min(x) AS lo, max(x) AS hi, least(count(DISTINCT x), 10) AS bins FROM x) SELECT bucket, count(*) AS n FROM (SELECT greatest(1, CAST(ceil((x - lo) / ((hi - lo) / bins)) AS INT)) AS bucket FROM x, s) GROUP BY bucket")

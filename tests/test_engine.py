@@ -1,5 +1,6 @@
 """Behaviours of the table checks on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def test_guarded_dates(spark):
 def test_similarities(spark):
     import random
 
-    import numpy as np
-
     def naive(a, b):
         row = [0] * (len(b) + 1)
         for x in a:
@@ -140,8 +139,6 @@ def test_histogram_equals_all_pairs_over_tiles(spark, monkeypatch):
     words = [f"name {i % 40} of {i * 7919 % 101}" for i in range(60)]
     rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "_row_id long, value string")
     got = {r.score: r.n for r in duplication.score_histogram(duplication.block_values(rows, 60)).collect()}
-    import numpy as np
-
     s = [sorted_tokens(w) for w in words]
     i, j = np.triu_indices(60, 1)
     want: dict = {}
@@ -150,6 +147,25 @@ def test_histogram_equals_all_pairs_over_tiles(spark, monkeypatch):
     assert got == want
 
 
+def test_row_pairs_equal_a_plain_loop(spark):
+    """Pairs over the threshold; (nearly) equal names count only where four fifths of the other columns agree."""
+    cities, kinds = ["Surat", "surat ", "Pune", None], ["a", "b"]
+    rows = [(i, f"trader {i % 7} of {'north' if i % 3 else 'nord'}", cities[i % 4], kinds[i % 2]) for i in range(48)]
+    df = spark.createDataFrame(rows, "_row_id long, c0 string, c1 string, c2 string")
+    named = df.select("_row_id", F.col("c0").alias("value"))
+    matches = duplication.value_pairs(duplication.block_values(named, len(rows)), 90.0)
+    got = {(r.row_a, r.row_b) for r in duplication.row_pairs(df, named, matches, ["c1", "c2"]).collect()}
+    cell = lambda v: "nan" if v is None else v.strip().lower()
+    words, want = [sorted_tokens(r[1]) for r in rows], set()
+    for i, a in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            score = ratios(words, words, np.array([i]), np.array([j]))[0]
+            agree = sum(cell(x) == cell(y) for x, y in zip(a[2:], rows[j][2:], strict=True)) / 2
+            if score >= 90 and (score < 99.5 or agree >= 0.8):
+                want.add((i, j))
+    assert want and got == want
+
+
 def test_repeat_customers_are_no_duplicates(spark):
     names = ["Asha Rao", "Asha Rao", "Asha Rao", "Ben Roy", "Cyra Nair", "Dev Shah", "Eli Joshi", "Fay Kurup"]
     r = duplication.duplication(table(spark, {"Customer_Name": names, "Order_Amount": [str(100 * i) for i in range(8)], "Order_Date": [f"2024-01-0{i + 1}" for i in range(8)]}))
