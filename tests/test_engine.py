@@ -67,6 +67,23 @@ def test_similarities(spark):
     assert df.select(jaro_winkler_similarity("a", "a").alias("x")).where("x = 1").count() == 2
 
 
+@pytest.mark.parametrize("most", [1 << 22, 60])
+def test_tables_of_similarities_equal_single_pairs(monkeypatch, most):
+    import random
+
+    from tablewarden.functions import similarity
+    from tablewarden.functions.similarity import lcs_table, ratio_table
+
+    monkeypatch.setattr(similarity, "MOST_MASKS", most)
+
+    rng = random.Random(5)
+    for letters, head, tail in [("ab", "", ""), ("abcde ", "Supplier#", " ltd"), ("aé😀", "x" * 70, "")]:
+        left, right = ([head + "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 8, 9, 16, 17, 33, 64, 65, 129, 200]))) + tail for _ in range(n)] for n in (25, 40))
+        i, j = (x.ravel() for x in np.meshgrid(range(25), range(40), indexing="ij"))
+        assert (ratio_table(left, right).ravel() == ratios(left, right, i, j)).all()
+    assert lcs_table(["ab"], []).shape == (1, 0) and lcs_table([""], ["", "a"]).tolist() == [[0, 0]]
+
+
 def test_consistency(spark):
     got = checks.consistency(table(spark, {"City": ["Ahmedabad", "ahmedabad", None], "When": ["2020-01-01", "2020-01-02", "05/06/2020"], "Sum": ["1", "1,000", "2"]}))
     assert [(c.bad, c.total) for c in got.columns] == [(1, 2), (1, 3), (1, 3)]
@@ -166,6 +183,44 @@ def test_row_pairs_equal_a_plain_loop(spark):
     assert want and got == want
 
 
+@pytest.mark.parametrize("others", [0, 1, 5, 7])
+def test_fuzzy_rows_without_their_pairs(spark, monkeypatch, others):
+    """Rows in a pair and the first pair equal a plain loop over all pairs, though no pair becomes a row."""
+    import random
+
+    def pairs_made(threshold):
+        def run(batches):
+            raise AssertionError("pairs were made")
+
+        return run
+
+    rng = random.Random(others)
+    long = "x" * 120
+    base = ["shree ganesh", "north steel", "a b", "b a", f"{long} y", f"{long[1:]} y z", f"y {long}", f"{long * 2} q", f"{long * 2} p", "naïve é co"]
+    names = [(rng.choice(base) + (f" {rng.randrange(200)}" if rng.random() < 0.4 else "")).replace(" ", rng.choice([" ", " ", "\x1c"])) for _ in range(90)]
+    cells = [[rng.choice([None, "A ", "a", "b", "c"]) for _ in range(others)] for _ in names]
+    with monkeypatch.context() as patch:
+        patch.setattr(duplication, "_matching", pairs_made)
+        patch.setattr(duplication, "TILE", 16)
+        r = duplication.duplication(table(spark, {"Name": names} | {f"k{c}": [x[c] for x in cells] for c in range(others)}, {"Name": "text"}))
+    rows, seen = [], set()
+    for i, row in enumerate(zip(names, map(tuple, cells), strict=True)):
+        if row not in seen:
+            rows.append((i, *row))
+        seen.add(row)
+    cell = lambda v: "nan" if v is None else v.strip().lower()
+    words, want = [sorted_tokens(n) for _, n, _ in rows], []
+    informative = [c for c in range(others) if max([x[c] for x in cells].count(v) for v in ("A ", "a", "b", "c")) / sum(x[c] is not None for x in cells) < 0.5]
+    assert len(informative) == others
+    for x, y in zip(*np.triu_indices(len(rows), 1)):
+        score = ratios(words, words, np.array([x]), np.array([y]))[0]
+        agree = not others or sum(cell(a) == cell(b) for a, b in zip(rows[x][2], rows[y][2], strict=True)) / others >= 0.8
+        if score >= r.threshold.value and (score < 99.5 or agree):
+            want.append((rows[x][0], rows[y][0]))
+    assert r.identity == "Name" and want and r.fuzzy_rows == len({i for pair in want for i in pair})
+    assert r.rows_involved == r.fuzzy_rows + r.exact_rows and r.first_pair == tuple(names[i] for i in min(want))
+
+
 def test_repeat_customers_are_no_duplicates(spark):
     names = ["Asha Rao", "Asha Rao", "Asha Rao", "Ben Roy", "Cyra Nair", "Dev Shah", "Eli Joshi", "Fay Kurup"]
     r = duplication.duplication(table(spark, {"Customer_Name": names, "Order_Amount": [str(100 * i) for i in range(8)], "Order_Date": [f"2024-01-0{i + 1}" for i in range(8)]}))
