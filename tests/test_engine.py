@@ -221,6 +221,16 @@ def test_fuzzy_rows_without_their_pairs(spark, monkeypatch, others):
     assert r.rows_involved == r.fuzzy_rows + r.exact_rows and r.first_pair == tuple(names[i] for i in min(want))
 
 
+def test_columns_of_many_keys_get_no_category_work(spark, monkeypatch):
+    seen = []
+    groups = validity.category_groups
+    monkeypatch.setattr(validity, "category_groups", lambda values: seen.append(sorted(r.col for r in values.select("col").distinct().collect())) or groups(values))
+    names = [f"trader {i} x" for i in range(60)]
+    assert validity.validity(table(spark, {"Name": names})).candidates == [] and seen == []
+    got = validity.validity(table(spark, {"Name": names, "Fuel": ["Diesel", "diesel", "Petrol"] * 20, "One": ["only"] * 60}, {"Fuel": "text", "One": "text"}))
+    assert seen == [[1]] and [(c.issue, c.column) for c in got.candidates] == [("categorical_inconsistency", "Fuel")]
+
+
 def test_repeat_customers_are_no_duplicates(spark):
     names = ["Asha Rao", "Asha Rao", "Asha Rao", "Ben Roy", "Cyra Nair", "Dev Shah", "Eli Joshi", "Fay Kurup"]
     r = duplication.duplication(table(spark, {"Customer_Name": names, "Order_Amount": [str(100 * i) for i in range(8)], "Order_Date": [f"2024-01-0{i + 1}" for i in range(8)]}))
